@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, tokenfile
+from . import bpe, langid, media, minhash, substring, tokenfile
 from .session import small_batches, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     shards = tokenfile.write(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
@@ -48,9 +54,39 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(langid.fold("doc_id", 3) != 1))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (langid.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_substring": op2_substring,
     "op4_token_file": op4_token_file,
     "op5_media": op5_media,
+    "op6_minhash": op6_minhash,
+    "op10_language": op10_language,
+}
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) u(i)),
+        src AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+        hit AS (SELECT doc_id, list(i) AS at FROM win JOIN src USING (g) WHERE m < doc_id GROUP BY doc_id),
+        cover AS (SELECT DISTINCT doc_id, a + k AS p FROM (SELECT doc_id, unnest(at) AS a FROM hit), range(13) r(k)),
+        gone AS (SELECT doc_id, list(p) AS ps FROM cover GROUP BY doc_id),
+        j AS (SELECT d.doc_id, w, coalesce(ps, []) AS ps FROM d LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(ps, i)), i -> w[i]), ' '), '')) AS kept_sha256
+        FROM j""",
 }
-ORACLE_SQL: dict[str, str] = {}
