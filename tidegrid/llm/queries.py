@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, minhash, substring, tokenfile
+from . import bpe, decontaminate, langid, media, minhash, ngram, pii, substring, tokenfile
 from .session import small_batches, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,13 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.shown("base"), 256).alias("base_sha256"), pii.shown("spans").alias("spans"))
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     shards = tokenfile.write(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
@@ -59,6 +66,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram.score(docs, langid.fold("doc_id", 10) == 0)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -69,12 +87,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring": op2_substring,
+    "op3_pii": op3_pii,
     "op4_token_file": op4_token_file,
     "op5_media": op5_media,
     "op6_minhash": op6_minhash,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_ngram": op9_ngram,
     "op10_language": op10_language,
 }
-_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,11 +103,11 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
         win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) u(i)),
         src AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
-        hit AS (SELECT doc_id, list(i) AS at FROM win JOIN src USING (g) WHERE m < doc_id GROUP BY doc_id),
-        cover AS (SELECT DISTINCT doc_id, a + k AS p FROM (SELECT doc_id, unnest(at) AS a FROM hit), range(13) r(k)),
+        hit AS (SELECT doc_id, list(i) AS starts FROM win JOIN src USING (g) WHERE m < doc_id GROUP BY doc_id),
+        cover AS (SELECT DISTINCT doc_id, a + k AS p FROM (SELECT doc_id, unnest(starts) AS a FROM hit), range(13) r(k)),
         gone AS (SELECT doc_id, list(p) AS ps FROM cover GROUP BY doc_id),
         j AS (SELECT d.doc_id, w, coalesce(ps, []) AS ps FROM d LEFT JOIN gone USING (doc_id))
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed,
-               sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(ps, i)), i -> w[i]), ' '), '')) AS kept_sha256
+               sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i]), ' '), '')) AS kept_sha256
         FROM j""",
 }
