@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, media, minhash, ngram, pii, substring, tokenfile
+from . import bpe, decontaminate, langid, media, minhash, ngram, pii, substring, tokenfile, toxicity
 from .session import small_batches, table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +66,15 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = docs.filter(langid.fold("doc_id", 3) != 1)
+    net = toxicity.fit(train, table(spark, sf_dir, "labels").filter(langid.fold("doc_id", 3) != 1))
+    scored = toxicity.score(docs, net)
+    return scored.select("doc_id", (langid.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -91,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_file": op4_token_file,
     "op5_media": op5_media,
     "op6_minhash": op6_minhash,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_ngram": op9_ngram,
     "op10_language": op10_language,
