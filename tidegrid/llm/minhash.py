@@ -7,17 +7,22 @@
    in ``MATCHES`` of n tokens share one of their n - MATCHES + 1 rarest tokens
    (prefix filter under one global order, rarest first), so only those are
    posted.  Tokens that no other class has are skipped before anything is joined.
-3. Posting lists are joined in two rounds.  First every class meets the least
-   class of each of its lists (a star: linear in the list).  After a component
-   pass, lists whose members still lie in several components pair the members
-   outside the list's largest component with all members of other components.
-   Pairs inside one component need no further test, so a group of thousands of
-   near copies is never expanded, while no link between components is lost.
-4. Candidates with ``MATCHES`` equal coordinates and fitting sizes are confirmed
-   on the full shingle sets, 100 * intersection >= 85 * union.
-
-At similarity 0.85 a pair has fewer than 7 of 16 equal coordinates with
-probability 2e-5 (binomial), the only way to miss one.
+3. Posting lists are joined in two rounds.  First every class meets the hub of
+   each of its lists, the member whose tokens are the most common (a star: linear
+   in the list).  After a component pass, lists whose members still lie in several
+   components pair the members outside the list's largest component with all
+   members of other components.  Pairs inside one component need no further test.
+   Before that, members that nobody can be linked with are skipped: a linked class
+   shares 85 % of its shingles, so one whose hash-sampled shingles (one in
+   ``SAMPLED``) are mostly its own has no link (five standard deviations of slack).
+   So a group of thousands of near copies is not expanded into its pairs.
+4. Candidates with ``CLOSE`` of ``COORDINATES`` equal coordinates and fitting sizes
+   are confirmed on the full shingle sets, 100 * intersection >= 85 * union.
+
+Only the first ``POSTED`` coordinates are posted.  At similarity 0.85 a pair has
+fewer than 7 of 16 equal coordinates with probability 2e-5 and fewer than 40 of 64
+with 3e-6 (binomial); the skip above errs with 3e-7 a member.  There is no other
+way to miss a link.
 
 Cases: null or empty texts have no shingles and no links; fewer words than a
 shingle count as one; equal texts are one class; rows with equal ids are one
@@ -39,12 +44,15 @@ from .session import written
 from .textarrays import chunks, mix, sequence_hash, shingle_hashes, word_hashes, words
 
 WORDS = 5
-COORDINATES = 16
+COORDINATES = 64
+CLOSE = 40
+POSTED = 16
 MATCHES = 7
+SAMPLED = 4
 PERCENT = 85
 _SEEDS = np.random.default_rng(3).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<long>"
+SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<int>"
 
 
 def shingle_sets(column: pa.Array, k: int = WORDS) -> Iterator[np.ndarray]:
@@ -64,11 +72,9 @@ def shingle_sets(column: pa.Array, k: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    out = np.empty(COORDINATES, np.uint64)
-    for i, seed in enumerate(_SEEDS):
-        x = s * seed
-        out[i] = (x ^ (x >> np.uint64(29))).min()
-    return mix(out)
+    """The high halves of the minima of s under each multiplier, as 32-bit integers."""
+    low = (s * _SEEDS[:, None]).min(axis=1) if len(s) < 4096 else np.array([(s * x).min() for x in _SEEDS])
+    return (mix(low) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def signed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,26 +88,53 @@ def signed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for s in shingle_sets(b.column(1)):
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s).view(np.int64) if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "signature"])
+                sigs.append(signature(s) if len(s) else None)
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_key", "signature"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, SIGNED)
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(coord, value, node, n): the rarest tokens of each class that other classes have too."""
-    tokens = classes.select("node", "n", F.posexplode("signature").alias("coord", "value"))
+    """(coord, value, node, n, central): the rarest tokens of each class that other classes have too."""
+    tokens = classes.select("node", "n", F.posexplode(F.slice("signature", 1, POSTED)).alias("coord", "value"))
     shared = tokens.groupBy("coord", "value").agg(F.count("*").alias("df")).filter("df > 1")
     rows = tokens.join(shared, ["coord", "value"]).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "coord", "value"))).alias("t"))
     # tokens of one class alone come first in the order: they use up the prefix without a posting
     keep = F.size("t") - F.lit(MATCHES - 1)
-    return rows.filter(keep > 0).select("node", "n", F.explode(F.expr(f"slice(t, 1, size(t) - {MATCHES - 1})")).alias("x")).select(F.col("x.coord").alias("coord"), F.col("x.value").alias("value"), "node", "n")
+    central = F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log2(x["df"].cast("double")))
+    posted = rows.filter(keep > 0).select("node", "n", central.alias("central"), F.explode(F.expr(f"slice(t, 1, size(t) - {MATCHES - 1})")).alias("x"))
+    return posted.select(F.col("x.coord").alias("coord"), F.col("x.value").alias("value"), "node", "n", "central")
+
+
+def linkable(texts: DataFrame, of: DataFrame) -> DataFrame:
+    """The nodes of ``of`` whose sampled shingles occur in other texts often enough for any link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                picked = [s[s % np.uint64(SAMPLED) == 0].view(np.int64) for s in shingle_sets(b.column(1))]
+                node = np.repeat(b.column(0).to_numpy(), [len(x) for x in picked])
+                yield pa.record_batch([pa.array(node, pa.int64()), pa.array(np.concatenate(picked))], names=["node", "h"])
+
+    rows = written(texts.select("node", "text").mapInArrow(run, "node long, h long"), "shingle-sample")
+    common = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h", F.lit(1).alias("c"))
+    own = rows.join(of, "node", "left_semi").join(common, "h", "left").groupBy("node").agg(F.count("*").alias("k"), F.count("c").alias("c"))
+    slack = 5 * F.sqrt(F.lit(PERCENT / 100 * (1 - PERCENT / 100)) / F.col("k"))
+    alone = own.filter(F.col("c") / F.col("k") < PERCENT / 100 - slack)
+    return of.join(alone, "node", "left_anti")
 
 
 def _fits(a: str, b: str) -> F.Column:
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
+def _mixed(member: DataFrame) -> DataFrame:
+    """Members of the lists that span components, with the list's largest component (major)."""
+    sizes = member.groupBy("coord", "value", "component").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("coord", "value").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    return member.join(mixed.select("coord", "value", F.col("top.component").alias("major")), ["coord", "value"])
+
+
 CONFIRMED = "a long, b long"
 
 
@@ -110,7 +143,7 @@ def confirm(pairs: DataFrame, signatures: DataFrame, texts: DataFrame) -> DataFr
     sa = signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
     sb = signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = pairs.join(sa, "a").join(sb, "b").filter(equal >= MATCHES).select("a", "b")
+    close = pairs.join(sa, "a").join(sb, "b").filter(equal >= CLOSE).select("a", "b")
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
@@ -149,17 +182,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = written(docs.join(active, docs.doc_id == active.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
     signatures = classes.select("node", "signature")
 
-    hubs = posts.groupBy("coord", "value").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
+    hubs = posts.groupBy("coord", "value").agg(F.max(F.struct("central", (-F.col("node")).alias("i"), "node", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
     star = posts.join(hubs, ["coord", "value"]).select(F.col("node").alias("a"), "n", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"))
     star = star.filter((F.col("a") != F.col("b")) & _fits("n", "m")).select("a", "b").distinct()
     links = written(confirm(star, signatures, texts), "star-links")
     found = components(links)
 
-    member = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("central")
     member = written(member, "members")
-    sizes = member.groupBy("coord", "value", "component").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("coord", "value").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("coord", "value", F.col("top.component").alias("major"))
-    of_mixed = member.join(mixed, ["coord", "value"])
+    hopeful = written(linkable(texts, _mixed(member).select("node").distinct()), "linkable")
+    of_mixed = _mixed(member.join(hopeful, "node", "left_semi"))
     left = of_mixed.filter("component <> major").select("coord", "value", F.col("node").alias("a"), "n", F.col("component").alias("ca"))
     right = of_mixed.select("coord", "value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"), "major")
     rest = left.join(right, ["coord", "value"]).filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") > F.col("b"))) & _fits("n", "m"))

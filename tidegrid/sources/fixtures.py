@@ -1,41 +1,63 @@
-"""Driver tables as metrics: events, orders and line items as labelled samples."""
+"""Plain tables as metrics: a time column, a value column and label columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import NAME, identified, series_of
+from ..model import NAME, identified, label_key, series_id, series_of
 from ..plans.engine import Store
 
 
-def _time(column: str):
-    return F.unix_millis(F.col(column).cast("timestamp"))
+@dataclass(frozen=True)
+class Metric:
+    """How a table's rows are samples of one metric."""
+
+    name: str
+    table: str
+    time: str
+    value: str
+    labels: tuple[tuple[str, str], ...]
+    order: str | None = None  # the first of samples of a series at one time counts, in this order
+
+    def map(self) -> Column:
+        pairs = [x for k, c in self.labels for x in (F.lit(k), F.col(c).cast("string"))]
+        return F.create_map(F.lit(NAME), F.lit(self.name), *pairs)
 
+    def rows(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identified samples of events_value{event_type, user_id}."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    labels = F.create_map(F.lit(NAME), F.lit("events_value"), F.lit("event_type"), F.col("event_type"), F.lit("user_id"), F.col("user_id").cast("string"))
-    return identified(rows.select("ts", "event_id", F.col("value").alias("v"), labels.alias("labels"))).withColumn("t", _time("ts"))
+    def series(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Distinct label columns first: labels are built and hashed once a series."""
+        return series_of(identified(self.rows(spark, sf_dir).select(*[c for _, c in self.labels]).distinct().select(self.map().alias("labels"))))
 
+    def samples(self, spark: SparkSession, sf_dir: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+        """(sid, t, v); the range is also put on the stored column, where Parquet statistics can use it."""
+        rows = self.rows(spark, sf_dir)
+        t = F.unix_millis(F.col(self.time).cast("timestamp"))
+        if lo is not None:
+            near = [F.timestamp_millis(F.lit(x)).cast("timestamp_ntz") for x in (lo, hi + 1)]
+            rows = rows.filter((F.col(self.time) >= near[0]) & (F.col(self.time) <= near[1])).filter(t.between(lo, hi))
+        out = rows.select(series_id(label_key(self.map())).alias("sid"), t.alias("t"), F.col(self.value).cast("double").alias("v"), *([F.col(self.order).alias("seq")] if self.order else []))
+        return out.groupBy("sid", "t").agg(F.min_by("v", "seq").alias("v")) if self.order else out
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders_price{o_orderpriority, o_orderstatus}; the first of samples at one time counts."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    labels = F.create_map(F.lit(NAME), F.lit("orders_price"), F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"))
-    return identified(rows.select(F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("v"), labels.alias("labels"))).withColumn("t", _time("ts"))
 
+EVENTS = Metric("events_value", "events", "ts", "value", (("event_type", "event_type"), ("user_id", "user_id")))
+ORDERS = Metric("orders_price", "orders", "o_orderdate", "o_totalprice", (("priority", "o_orderpriority"), ("status", "o_orderstatus")), "o_orderkey")
 
-def store(rows: DataFrame, rollups: DataFrame | None = None, dedup: bool = False) -> Store:
-    """A store over identified rows whose stored column ``ts`` takes the range filter into the scan."""
+
+def store(spark: SparkSession, sf_dir: str, *metrics: Metric, rollups: DataFrame | None = None) -> Store:
+    """A store over one or more metrics."""
+    series = metrics[0].series(spark, sf_dir)
+    for m in metrics[1:]:
+        series = series.unionByName(m.series(spark, sf_dir))
 
     def scan(lo: int, hi: int) -> DataFrame:
-        near = rows.filter(F.col("ts").between(F.timestamp_millis(F.lit(lo - 1)).cast("timestamp_ntz"), F.timestamp_millis(F.lit(hi + 1)).cast("timestamp_ntz")))
-        kept = near.filter(F.col("t").between(lo, hi))
-        if dedup:
-            return kept.groupBy("sid", "t").agg(F.min_by("v", "event_id").alias("v"))
-        return kept.select("sid", "t", "v")
-
-    # distinct label sets are found before anything is hashed or checked
-    return Store(series_of(identified(rows.select("labels_text", "labels").dropDuplicates(["labels_text"]).select("labels"))), scan, rollups)
+        out = metrics[0].samples(spark, sf_dir, lo, hi)
+        for m in metrics[1:]:
+            out = out.unionByName(m.samples(spark, sf_dir, lo, hi))
+        return out
+
+    return Store(series, scan, rollups)
