@@ -2,6 +2,7 @@
 
 The grid has 100 steps of six hours.  Sums are rounded on both sides because the
 order of addition is open; counts, extremes and last values are compared exactly.
+Times are floored to milliseconds (DuckDB's epoch_ms rounds).
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def flat(result: Result, labels: tuple[str, ...], digits: int | None = None) ->
 
 ET, BOTH = ("event_type",), ("event_type", "user_id")
 _G = f"g AS (SELECT {START} + i * {STEP} AS ts FROM range({N}) r(i))"
-_SAM = "sam AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_ms(ts) AS t, value AS v FROM events)"
+_SAM = "sam AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, (epoch_us(ts) // 1000) AS t, value AS v FROM events)"
 
 
 def _win(w: int, off: int = 0, where: str = "true", sam: str = _SAM, labels: str = "event_type, user_id") -> str:
@@ -93,7 +94,7 @@ add("max_ot_unaligned", "max_over_time(events_value[7h] offset 90m)", _over("max
 
 
 def _lagged(w: int, off: int = 0) -> str:
-    sam = "s0 AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_ms(ts) AS t, value AS v FROM events), sam AS (SELECT *, lag(v) OVER o AS pv, lag(t) OVER o AS pt FROM s0 WINDOW o AS (PARTITION BY event_type, user_id ORDER BY t))"
+    sam = "s0 AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, (epoch_us(ts) // 1000) AS t, value AS v FROM events), sam AS (SELECT *, lag(v) OVER o AS pv, lag(t) OVER o AS pt FROM s0 WINDOW o AS (PARTITION BY event_type, user_id ORDER BY t))"
     return f"WITH {_G}, {sam}, w AS (SELECT event_type, user_id, ts, t, v, CASE WHEN pt > ts - {off + w} THEN pv END AS pv, pt FROM g JOIN sam ON t > ts - {off + w} AND t <= ts - {off})"
 
 
@@ -188,7 +189,7 @@ def hist_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRST = (lambda x: x - x % (180 * DAY))(9 * 365 * DAY // (180 * DAY) * 180 * DAY + 13 * 365 * DAY // (180 * DAY) * 180 * DAY)
 QUERIES["hist_quantile"] = hist_quantile
 ORACLE_SQL["hist_quantile"] = f"""
-    WITH o AS (SELECT o_orderpriority AS priority, epoch_ms(o_orderdate) AS t, o_totalprice AS x FROM orders),
+    WITH o AS (SELECT o_orderpriority AS priority, (epoch_us(o_orderdate) // 1000) AS t, o_totalprice AS x FROM orders),
     b AS (SELECT priority, t + (({180 * DAY} - t % {180 * DAY}) % {180 * DAY}) AS ts, x FROM o),
     le AS (SELECT unnest([{", ".join(f"{b}::DOUBLE" for b in BOUNDS)}, 'Infinity'::DOUBLE]) AS le),
     c AS (SELECT priority, ts, le, CAST(sum(CASE WHEN x <= le THEN 1 ELSE 0 END) AS DOUBLE) AS m FROM b, le WHERE ts BETWEEN {_FIRST} AND {_FIRST + 19 * 180 * DAY} GROUP BY ALL),
@@ -243,5 +244,5 @@ for _name, _by, _sel, _w, _where in (
     add(_name, _M5.format(_by, _sel, _w), f"{_win(_ms, 0, _where)} SELECT event_type, ts, max(v) AS v FROM w GROUP BY ALL", ET)
 for _name, _where, _sel in (("tsbs_double_groupby_1", "event_type = 'click'", '{event_type="click"}'), ("tsbs_double_groupby_5", "true", ""), ("tsbs_double_groupby_all", "true", "")):
     add(_name, f"avg by (user_id, event_type) (avg_over_time(events_value{_sel}[{'12h' if _name.endswith('all') else '6h'}]))", _over("avg(v)", (12 if _name.endswith("all") else 6) * HOUR, 0, _where) + _rounded(" event_type, user_id", 6), digits=6)
-add("two_metrics", "count by (__name__) (last_over_time({__name__=~'events_.*|orders_.*'}[1d]))", f"""WITH {_G}, s AS (SELECT 'events_value' AS n, event_type || '/' || user_id AS k, epoch_ms(ts) AS t FROM events UNION ALL SELECT 'orders_price', o_orderpriority || '/' || o_orderstatus, epoch_ms(o_orderdate) FROM orders)
+add("two_metrics", "count by (__name__) (last_over_time({__name__=~'events_.*|orders_.*'}[1d]))", f"""WITH {_G}, s AS (SELECT 'events_value' AS n, event_type || '/' || user_id AS k, (epoch_us(ts) // 1000) AS t FROM events UNION ALL SELECT 'orders_price', o_orderpriority || '/' || o_orderstatus, (epoch_us(o_orderdate) // 1000) FROM orders)
     SELECT n AS __name__, ts, CAST(count(DISTINCT k) AS DOUBLE) AS v FROM g JOIN s ON t > ts - {DAY} AND t <= ts GROUP BY ALL""", ("__name__",), metrics=(fixtures.EVENTS, fixtures.ORDERS))
