@@ -11,7 +11,7 @@ right, carries the state and adds up the arcs.
 
 The automaton of the whole corpus never is in one place: a block of documents
 asks for the counts of its own distinct words and pairs and so gets the part of
-the automaton that its texts can reach.  N and V come as one row.
+the automaton that its texts can reach.  N and V come with the replies.
 
 Cases: a null or empty text is the end token alone; unseen words take the
 smoothed zero count; without training rows the model is uniform; every row is
@@ -178,6 +178,6 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     sums = word_lists.groupBy("bucket").applyInArrow(_sums, "n long, v long").agg(F.sum("n").alias("tokens"), F.sum("v").alias("distinct"))
     docs = df.select((~F.coalesce(held_out, F.lit(False))).alias("t")).agg(F.count_if("t").alias("docs"))
     replies = word_lists.groupBy("bucket").applyInArrow(_merged, blocks.REPLIED).unionByName(pair_lists.groupBy("bucket").applyInArrow(_merged, blocks.REPLIED))
-    # one row: N, V and the number of training texts
-    replies = replies.crossJoin(F.broadcast(sums.crossJoin(F.broadcast(docs))))
+    # N, V and the number of training texts, as values of scalar subqueries
+    replies = replies.select("*", sums.select(F.struct("tokens", "distinct")).scalar().alias("sums"), docs.scalar().alias("docs")).select("*", "sums.*").drop("sums")
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(walk, SCORED)
