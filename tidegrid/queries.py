@@ -109,7 +109,7 @@ def _rate(w: int, counter: bool, per_second: bool, off: int = 0) -> str:
         """
 
 
-add("rate_q", "rate(events_value[2d])", _rate(2 * DAY, True, True) + _rounded("event_type, user_id", 9), digits=9)
+add("rate_q", "rate(events_value[2d])", _rate(2 * DAY, True, True) + _rounded("event_type, user_id", 12), digits=12)
 add("increase_q", "increase(events_value[2d])", _rate(2 * DAY, True, False) + _rounded("event_type, user_id", 5), digits=5)
 add("delta_q", "delta(events_value[50h] offset 1d)", _rate(50 * HOUR, False, False, DAY) + _rounded("event_type, user_id", 5), digits=5)
 add(
