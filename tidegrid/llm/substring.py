@@ -71,11 +71,12 @@ def _minimizer_keys(read: list, doc_ids: np.ndarray) -> tuple[np.ndarray, np.nda
     at = [_runs(m, row) for _, _, _, m, row in read]
     keys = np.concatenate([x[3][i] for x, i in zip(read, at, strict=True)] or [np.zeros(0, np.uint64)])
     doc = doc_ids[np.concatenate([x[4][i] for x, i in zip(read, at, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)]
+    if not len(keys):
+        return keys, np.zeros(0, bool)
     order = np.argsort(keys, kind="stable")
     k, d = keys[order], doc[order]
-    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(k))
-    return k[starts], d[starts] != d[np.maximum(ends - 1, 0)]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[starts], d[starts] != d[np.append(starts[1:], len(k)) - 1]
 
 
 def _ids(table: pa.Table) -> np.ndarray:
