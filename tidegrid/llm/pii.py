@@ -180,6 +180,11 @@ def shown(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
+def count_of(spans: str, kind: int) -> F.Column:
+    """How many of the spans are of the kind (an index into KINDS)."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with every find replaced by its kind in brackets; n_chars, if there, follows the new text.
 
@@ -187,19 +192,19 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     beyond the base come back by a join on the row.
     """
     keyed = written(df.withColumn("_row", F.monotonically_increasing_id()), "redact")
-    spans = find(keyed.select(F.col("_row").alias("doc_id"), text_col), "doc_id", text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), "spans")
+    spans = find(keyed.select(F.col("_row").alias("doc_id"), text_col), "doc_id", text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text_col)
             out = []
-            for text, finds in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
+            for text, finds in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("_spans")).to_pylist(), strict=True):
                 out.append(text if not finds else blanked(text, [(x["start"], x["kind"], x["end"]) for x in finds]))
             cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)]
             yield pa.record_batch(cols, schema=pa.schema([b.schema.field(i) if i != at else pa.field(text_col, pa.string()) for i in range(b.num_columns)]))
 
     joined = keyed.join(spans, "_row", "left")
-    clean = joined.mapInArrow(run, joined.schema).drop("_row", "spans")
+    clean = joined.mapInArrow(run, joined.schema).drop("_row", "_spans")
     if "n_chars" in df.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text_col).cast(df.schema["n_chars"].dataType)))
     return clean.select(*df.columns)
