@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each over all that the one before kept.
 
 1. ``language``: documents without a language (no letter) or of which the
-   discriminator is not sure at all (score under ``UNSURE``) go.
+   discriminator is not sure at all (score under ``UNSURE``) go; where no document
+   is labelled, only those without a letter.
 2. ``near_duplicates``: of each component of near copies the least document stays.
 3. ``decontaminate``: documents that cover a benchmark item go.
 4. ``private``: personal data is replaced by its kind in brackets.
@@ -29,6 +30,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = langid.fit(docs.filter(langid.fold("doc_id", 3) != 1))
+    if not model.families:  # nothing is labelled: only what has no letter can be rejected
+        return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
     judged = langid.predict(docs.select(*COLUMNS), model)
     return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNSURE)).select(*COLUMNS)
 
