@@ -18,6 +18,7 @@ document ids stay together, in order of their texts; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import MEMORY_WORDS, MergeTable, parts_of
+from .bpe import MEMORY_WORDS, MergeTable
 from .session import written
+from .textarrays import Chunk, Words, chunks, word_hashes, words
 
 MAGIC = b"TGWM"
 #: Ids in a shard before it is closed.
@@ -39,13 +41,75 @@ SHARD_TOKENS = 1 << 18
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def plain(text: str) -> bool:
-    """Words with one space or one line end between them: the pattern then never looks beyond a stretch."""
-    return " ".join(text.split()) == text.replace("\n", " ")
+#: Bytes that may begin a special token or white space beyond the ASCII one, and what does.
+_SUSPECT = np.zeros(256, bool)
+_SUSPECT[[*range(0x1C, 0x20), 0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ODD = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_LEADS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+class IdTable:
+    """Lists of ids under 64-bit keys, in arrays: open addressing, found and filled many at once."""
+
+    def __init__(self, bits: int = 22):
+        self.bits, self.most = bits, 1 << (bits - 1)
+        self.keys, self.entry = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.off, self.flat, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key (not 0); -1 where there is none."""
+        at = self.home(keys)
+        got = self.keys[at]
+        out = np.where(got == keys, self.entry[at], -1)
+        left = np.flatnonzero((got != keys) & (got != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            got = self.keys[at[left]]
+            hit = got == keys[left]
+            out[left[hit]] = self.entry[at[left[hit]]]
+            left = left[~hit & (got != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> None:
+        """Add distinct keys that are not there."""
+        base, n = int(self.off[self.n]), len(keys)
+        while len(self.off) < self.n + n + 1:
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+        while len(self.flat) < base + len(flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.off[self.n + 1 : self.n + n + 1] = base + np.cumsum(lengths)
+        self.flat[base : base + len(flat)] = flat
+        at, left = self.home(keys), np.arange(n)
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.entry[at[won]] = keys[won], self.n + won
+            placed = np.zeros(n, bool)
+            placed[won] = True
+            left = left[~placed[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+        self.n += n
+
+    def lists(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all entries in order, how many each has)."""
+        start = self.off[entries]
+        n = self.off[entries + 1] - start
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(start - ends + n, n)], n
 
 
 class ByteBpe:
-    """The byte-level vocabulary over the same merge rounds as the word-end one."""
+    """The byte-level vocabulary over the same merge rounds as the word-end one.
+
+    Words with one space or line end between them are looked up by hash, without a
+    Python object each: the pattern never looks beyond such a word and the space
+    before it.  Texts with other white space or special tokens go piece by piece.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -54,79 +118,97 @@ class ByteBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.pattern = regex.compile(PATTERN)
-        self.first: dict[str, bytes] = {}  # at the start of a line
-        self.after: dict[str, bytes] = {}  # after one space
+        self.words = IdTable()
         self.raw: dict[str, bytes] = {}  # pieces of the pattern itself
-
-    def put(self, store: dict[str, bytes], keys: list[str], lead: str) -> None:
-        words = self.pattern.findall("\n".join([lead + k for k in keys]))
-        names = list(set(words))
+        self.line_end = self.table.encode([b"\n"])[0]
+
+    def learn(self, keys: np.ndarray, words: list[str], lead: np.ndarray) -> None:
+        """Words after nothing (lead 0), a space (1) or a line end (2, whose id goes with the word)."""
+        if self.words.n + len(keys) > self.words.most:
+            self.words = IdTable(max(self.words.bits, len(keys).bit_length() + 1))
+        pieces = self.pattern.findall("\n".join([" " + w if x == 1 else w for w, x in zip(words, lead.tolist(), strict=True)]))
+        names = list(set(pieces))
         ids, off = self.table.encode([w.encode() for w in names])
         place = dict(zip(names, range(len(names)), strict=True))
-        which = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        which = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
         cut = which == place.get("\n", -1)
         n = np.where(cut, 0, np.diff(off)[which])
         ends = np.cumsum(n)
         flat = ids[np.arange(int(n.sum())) + np.repeat(off[which] - ends + n, n)]
-        at = (np.concatenate([[0], ends[cut], [len(flat)]]) * 4).tolist()
-        raw = flat.astype("<u4").tobytes()
-        store.update(zip(keys, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
-
-    def put_raw(self, keys: list[str]) -> None:
-        ids, off = self.table.encode([k.encode() for k in keys])
-        raw, at = ids.astype("<u4").tobytes(), (off * 4).tolist()
-        self.raw.update(zip(keys, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        for store in (self.first, self.after, self.raw):
-            if len(store) > MEMORY_WORDS:
-                store.clear()
-        plan: list[list[tuple[int, object]]] = []
-        firsts: set[str] = set()
-        afters: set[str] = set()
-        raws: set[str] = set()
-        for text in texts:
-            steps: list[tuple[int, object]] = []
-            for part in self.cut.split(text) if text and "<|" in text else [text] if text else []:
-                if part in self.special:
-                    steps.append((0, self.special[part].to_bytes(4, "little")))
-                elif part and plain(part):
-                    lines = [x.split(" ") for x in part.split("\n")]
-                    firsts.update([x[0] for x in lines])
-                    for x in lines:
-                        afters.update(x[1:])
-                    steps.append((1, lines))
-                elif part:
-                    pieces = self.pattern.findall(part)
-                    raws.update(pieces)
-                    steps.append((2, pieces))
-            plan.append(steps)
-        raws.add("\n")
-        if new := list(firsts.difference(self.first)):
-            self.put(self.first, new, "")
-        if new := list(afters.difference(self.after)):
-            self.put(self.after, new, " ")
-        if new := list(raws.difference(self.raw)):
-            self.put_raw(new)
-        first, after, raw, end = self.first, self.after, self.raw, self.raw["\n"]
+        bounds = np.concatenate([[0], ends[cut], [len(flat)]])
+        after = lead == 2
+        flat = np.insert(flat, bounds[:-1][after], self.line_end[0])
+        self.words.put(keys, flat, np.diff(bounds) + after)
+
+    def by_pieces(self, text: str) -> bytes:
         out = []
-        for steps in plan:
-            got: list[bytes] = []
-            for kind, x in steps:
-                if kind == 0:
-                    got.append(x)
-                elif kind == 2:
-                    got.extend(map(raw.__getitem__, x))
-                else:
-                    lines = []
-                    for line in x:
-                        ids = [first[line[0]]]
-                        ids.extend(map(after.__getitem__, line[1:]))
-                        lines.append(b"".join(ids))
-                    got.append(end.join(lines))
-            out.append(b"".join(got))
+        for part in self.cut.split(text) if "<|" in text else [text]:
+            if part in self.special:
+                out.append(self.special[part].to_bytes(4, "little"))
+            elif part:
+                pieces = self.pattern.findall(part)
+                if new := list(set(pieces).difference(self.raw)):
+                    ids, off = self.table.encode([k.encode() for k in new])
+                    raw, at = ids.astype("<u4").tobytes(), (off * 4).tolist()
+                    self.raw.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
+                out.extend(map(self.raw.__getitem__, pieces))
+        if len(self.raw) > MEMORY_WORDS:
+            self.raw.clear()
+        return b"".join(out)
+
+    def odd(self, c: Chunk, w: Words, sep: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Documents that have anything but single spaces and line ends between their words."""
+        docs, off = w.docs, c.offsets
+        has = np.diff(docs) > 0
+        out = ~has & (np.diff(off) > 0)
+        out[has] |= (w.start[docs[:-1][has]] != off[:-1][has]) | (w.end[docs[1:][has] - 1] != off[1:][has])
+        bad = ~first & (sep != 32) & (sep != 10)
+        bad[1:] |= ~first[1:] & (w.start[1:] - w.end[:-1] != 1)
+        out[np.searchsorted(docs, np.flatnonzero(bad), "right") - 1] = True
+        at = np.flatnonzero(_SUSPECT[c.data])
+        for i in np.unique(np.searchsorted(off, at, "right") - 1).tolist():
+            if not out[i]:
+                out[i] = _ODD.search(c.data[off[i] : off[i + 1]].tobytes()) is not None
         return out
 
+    def encode_chunk(self, c: Chunk) -> list[bytes]:
+        w = words(c)
+        first = np.zeros(w.n, bool)
+        first[w.docs[:-1][np.diff(w.docs) > 0]] = True
+        sep = c.data[np.maximum(w.start - 1, 0)] if w.n else np.zeros(0, np.uint8)
+        odd = self.odd(c, w, sep, first)
+        lead = np.where(first, 0, np.where(sep == 10, 2, 1))
+        keys = word_hashes(c, w) ^ _LEADS[lead]
+        keys[keys == 0] = 1
+        if odd.any():
+            use = np.flatnonzero(~np.repeat(odd, np.diff(w.docs)))
+            keys, lead, start, end = keys[use], lead[use], w.start[use], w.end[use]
+        else:
+            start, end = w.start, w.end
+        entries = self.words.find(keys)
+        new = np.flatnonzero(entries < 0)
+        if len(new):
+            fresh, i = np.unique(keys[new], return_index=True)
+            i = new[i]
+            raw = c.data.tobytes()
+            held = self.words
+            self.learn(fresh, [raw[a:b].decode() for a, b in zip(start[i].tolist(), end[i].tolist(), strict=True)], lead[i])
+            if self.words is not held:  # the table began anew
+                return self.encode_chunk(c)
+            entries[new] = self.words.find(keys[new])
+        flat, n = self.words.lists(entries)
+        cut = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(w.docs)))])] * 4
+        raw, at = flat.astype("<u4").tobytes(), cut.tolist()
+        out = [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        for d in np.flatnonzero(odd).tolist():
+            out[d] = self.by_pieces(c.data[c.offsets[d] : c.offsets[d + 1]].tobytes().decode())
+        return out
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        return [x for c in chunks(column) for x in self.encode_chunk(c)]
+
 
 @lru_cache(2)
 def byte_bpe(path: str) -> ByteBpe:
@@ -273,10 +355,9 @@ def write(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", tex
         for b in batches:
             if not b.num_rows:
                 continue
-            text = b.column(1).fill_null("")
-            for s in parts_of(pa.concat_arrays([text])):
-                new = bpe.encode(text[s.start : s.stop].to_pylist())
-                for doc, ids in zip(b.column(0)[s.start : s.stop].to_pylist(), new, strict=True):
+            ident = b.column(0)
+            for c in chunks(b.column(1)):
+                for doc, ids in zip(ident[c.first : c.first + c.n_docs].to_pylist(), bpe.encode_chunk(c), strict=True):
                     if docs and n + len(ids) // 4 + 1 > SHARD_TOKENS:
                         yield close()
                         docs, held, n, seq = [], [], 0, seq + 1
