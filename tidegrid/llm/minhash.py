@@ -15,7 +15,10 @@
    Before that, members that nobody can be linked with are skipped: a linked class
    shares 85 % of its shingles, so one whose hash-sampled shingles (one in
    ``SAMPLED``) are mostly its own has no link (five standard deviations of slack).
-   So a group of thousands of near copies is not expanded into its pairs.
+   Of the others a pair is kept if its sizes, the shingles that only one of the
+   lists' members has, and those that either lacks of a common hub leave room for
+   the similarity (exact bounds).  So a group of thousands of near copies is not
+   expanded into its pairs.
 4. Candidates with ``CLOSE`` of ``COORDINATES`` equal coordinates and fitting sizes
    are confirmed on the full shingle sets, 100 * intersection >= 85 * union.
 
@@ -124,10 +127,70 @@ def linkable(texts: DataFrame, of: DataFrame) -> DataFrame:
     return of.join(alone, "node", "left_anti")
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, h): the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in enumerate(shingle_sets(b.column(1)) if b.num_rows else ()):
+                yield pa.record_batch([pa.array(np.full(len(s), b.column(0)[i].as_py(), np.int64)), pa.array(s.view(np.int64))], names=["node", "h"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, h long")
+
+
+def traits(texts: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(node, own, pivot, lacks): how many shingles no other of these nodes has, and those of the pivot that the node lacks.
+
+    pivots: (node, pivot).  A pivot that is far from the node gives no list.
+    """
+    wanted = pivots.select("node").unionByName(pivots.select(F.col("pivot").alias("node"))).distinct()
+    near = written(texts.join(wanted, "node", "left_semi"), "near-texts")
+    # a pivot counts too, so that no shingle of a pivot is any other node's own
+    alone = shingle_rows(near).groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("df")).filter("df = 1").groupBy("node").agg(F.count("*").alias("own"))
+    pivot_text = near.select(F.col("node").alias("pivot"), F.col("text").alias("pt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            lacks = []
+            for i, s in enumerate(shingle_sets(b.column(2)) if b.num_rows else ()):
+                key = b.column(1)[i].as_py()
+                if key not in held:
+                    if len(held) > 64:
+                        held.clear()
+                    held[key] = next(shingle_sets(b.column(3).slice(i, 1)))
+                gone = np.setdiff1d(held[key], s, assume_unique=True)
+                lacks.append(gone.view(np.int64) if 4 * len(gone) <= len(held[key]) else None)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(lacks, pa.list_(pa.int64()))], names=["node", "pivot", "lacks"])
+
+    both = pivots.join(near, "node").join(pivot_text, "pivot").select("node", "pivot", "text", "pt")
+    lists = both.mapInArrow(run, "node long, pivot long, lacks array<long>")
+    return lists.join(alone, "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"), "pivot", "lacks")
+
+
 def _fits(a: str, b: str) -> F.Column:
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
+def _may_link(x: str, y: str) -> F.Column:
+    """Whether two sets may reach the similarity, from sizes, own shingles and what they lack of a common pivot.
+
+    Common shingles are at most those of either side that are not its own; of these,
+    pivot shingles that only the other side lacks are not common either.  The pivot's
+    own shingles are what others lack of it, so they count once.
+    """
+    col = lambda side, name: F.col(f"{side}.{name}")
+    enough = lambda c: (100 + PERCENT) * c >= PERCENT * (col(x, "n") + col(y, "n"))
+
+    def most(a: str, b: str) -> F.Column:
+        own = F.when(col(a, "node") == col(a, "pivot"), 0).otherwise(col(a, "own"))
+        return col(a, "n") - own - F.size(F.array_except(col(b, "lacks"), col(a, "lacks")))
+
+    plain = F.least(col(x, "n") - col(x, "own"), col(y, "n") - col(y, "own"))
+    comparable = (col(x, "pivot") == col(y, "pivot")) & col(x, "lacks").isNotNull() & col(y, "lacks").isNotNull()
+    return enough(plain) & (~comparable | enough(F.least(most(x, y), most(y, x))))
+
+
 def _mixed(member: DataFrame) -> DataFrame:
     """Members of the lists that span components, with the list's largest component (major)."""
     sizes = member.groupBy("coord", "value", "component").agg(F.count("*").alias("k"))
@@ -192,10 +255,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = written(member, "members")
     hopeful = written(linkable(texts, _mixed(member).select("node").distinct()), "linkable")
     of_mixed = _mixed(member.join(hopeful, "node", "left_semi"))
-    left = of_mixed.filter("component <> major").select("coord", "value", F.col("node").alias("a"), "n", F.col("component").alias("ca"))
-    right = of_mixed.select("coord", "value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"), "major")
-    rest = left.join(right, ["coord", "value"]).filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") > F.col("b"))) & _fits("n", "m"))
-    more = written(confirm(rest.select("a", "b").distinct(), signatures, texts), "rest-links")
+    # of the hubs a node meets the most central one is its pivot: near copies mostly have the same
+    pivots = of_mixed.join(hubs, ["coord", "value"]).groupBy("node").agg(F.max(F.struct("hub.central", "hub.i"))["i"].alias("i")).select("node", (-F.col("i")).alias("pivot"))
+    known = written(traits(texts, written(pivots, "pivots")), "traits")
+    # the traits of one node are some tens of integers; a list's members pair by what could link at all
+    of_mixed = written(of_mixed.join(known, "node"), "mixed")
+    left = of_mixed.filter("component <> major").alias("x")
+    right = of_mixed.alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") > F.col("y.node")))
+    same = (F.col("x.coord") == F.col("y.coord")) & (F.col("x.value") == F.col("y.value"))
+    rest = left.join(right, same & apart & _may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = written(confirm(rest.distinct(), signatures, texts), "rest-links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
 
