@@ -240,9 +240,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
     posts = written(postings(classes), "postings")
 
-    # texts of the classes that have a posting at all
+    # texts of the classes that have a posting at all; these grow with the input, so they are never sent to all
     active = posts.select("node").distinct()
-    texts = written(docs.join(active, docs.doc_id == active.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+    texts = written(docs.join(active.hint("merge"), docs.doc_id == active.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
     signatures = classes.select("node", "signature")
 
     hubs = posts.groupBy("coord", "value").agg(F.max(F.struct("central", (-F.col("node")).alias("i"), "node", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
