@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import label
-from .operators import rollup
+from .operators import admission, diff, metadata, rollup
 from .plans.engine import Engine, Options, Result
 from .sources import fixtures
 
@@ -246,3 +246,122 @@ for _name, _where, _sel in (("tsbs_double_groupby_1", "event_type = 'click'", '{
     add(_name, f"avg by (user_id, event_type) (avg_over_time(events_value{_sel}[{'12h' if _name.endswith('all') else '6h'}]))", _over("avg(v)", (12 if _name.endswith("all") else 6) * HOUR, 0, _where) + _rounded(" event_type, user_id", 6), digits=6)
 add("two_metrics", "count by (__name__) (last_over_time({__name__=~'events_.*|orders_.*'}[1d]))", f"""WITH {_G}, s AS (SELECT 'events_value' AS n, event_type || '/' || user_id AS k, (epoch_us(ts) // 1000) AS t FROM events UNION ALL SELECT 'orders_price', o_orderpriority || '/' || o_orderstatus, (epoch_us(o_orderdate) // 1000) FROM orders)
     SELECT n AS __name__, ts, CAST(count(DISTINCT k) AS DOUBLE) AS v FROM g JOIN s ON t > ts - {DAY} AND t <= ts GROUP BY ALL""", ("__name__",), metrics=(fixtures.EVENTS, fixtures.ORDERS))
+
+
+# --- admission of arrivals: events by a scrambled order of their ids
+
+_ORDER = "(event_id * 7919) % 10007"
+_WINDOW = 12 * HOUR
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = F.unix_millis(F.col("ts").cast("timestamp"))
+    # times cut to hours, so that some repeat
+    return rows.select("event_type", (F.col("user_id") % 10).alias("user"), "event_id", F.xxhash64("event_type", F.col("user_id") % 10).alias("sid"), (t - F.pmod(t, F.lit(HOUR))).alias("t"), F.expr(_ORDER).alias("seq"))
+
+
+def admission_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every event is judged when events arrive in another order."""
+    judged = admission.classify(_arrivals(spark, sf_dir), _WINDOW, START + DAY, ("seq", "event_id"))
+    return judged.select("event_id", "verdict")
+
+
+_JUDGED = f"""WITH a AS (SELECT event_id, event_type AS k, user_id % 10 AS u, (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS t, {_ORDER} AS seq FROM events),
+    b AS (SELECT *, max(CASE WHEN t >= {START + DAY} THEN t END) OVER (PARTITION BY k, u ORDER BY seq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top,
+          row_number() OVER (PARTITION BY k, u, t ORDER BY seq, event_id) AS nth FROM a),
+    c AS (SELECT event_id, CASE WHEN t < {START + DAY} THEN 'too_old' WHEN top IS NULL OR t > top THEN 'ok' WHEN t = top THEN 'duplicate' WHEN t < top - {_WINDOW} THEN 'too_old' WHEN nth > 1 THEN 'duplicate' ELSE 'late' END AS verdict FROM b)"""
+QUERIES["admission_classes"] = admission_classes
+ORACLE_SQL["admission_classes"] = f"{_JUDGED} SELECT event_id, verdict FROM c"
+QUERIES["admission_counters"] = lambda spark, sf_dir: admission.counters(admission_classes(spark, sf_dir))
+ORACLE_SQL["admission_counters"] = f"{_JUDGED} SELECT verdict, count(*) AS n FROM c GROUP BY ALL"
+
+# --- series and labels
+
+_STORES = (fixtures.EVENTS, fixtures.ORDERS)
+_PAIRS = """p AS (SELECT '__name__' AS k, 'events_value' AS v UNION ALL SELECT 'event_type', event_type FROM events UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM events
+    UNION ALL SELECT '__name__', 'orders_price' UNION ALL SELECT 'priority', o_orderpriority FROM orders UNION ALL SELECT 'status', o_orderstatus FROM orders)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return fixtures.store(spark, sf_dir, *_STORES)
+
+
+def series_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of two overlapping selectors with a sample in the first ten days."""
+    found = metadata.series(_stored(spark, sf_dir), ['{event_type="click"}', '{event_type=~"c.*|p.*"}'], START, START + 10 * DAY)
+    return found.select(*[label(F.col("label_key"), n).alias(n) for n in BOTH])
+
+
+QUERIES["series_list"] = series_list
+ORACLE_SQL["series_list"] = f"SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE regexp_full_match(event_type, 'c.*|p.*') AND epoch_us(ts) // 1000 BETWEEN {START} AND {START + 10 * DAY}"
+QUERIES["label_names"] = lambda spark, sf_dir: metadata.label_names(_stored(spark, sf_dir))
+ORACLE_SQL["label_names"] = f"WITH {_PAIRS} SELECT DISTINCT k AS name FROM p"
+QUERIES["label_values"] = lambda spark, sf_dir: metadata.label_values(_stored(spark, sf_dir), "user_id", ['{event_type="click"}'])
+ORACLE_SQL["label_values"] = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS value FROM events WHERE event_type = 'click'"
+QUERIES["cardinality"] = lambda spark, sf_dir: metadata.cardinality(_stored(spark, sf_dir))
+ORACLE_SQL["cardinality"] = f"WITH {_PAIRS} SELECT k AS name, count(DISTINCT v) AS n FROM p GROUP BY ALL ORDER BY n DESC, name LIMIT 10"
+
+
+def export_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw samples of every event series, as lists in time order."""
+    out = metadata.export(_stored(spark, sf_dir), ["events_value"])
+    return out.select(*[label(F.col("label_key"), n).alias(n) for n in BOTH], F.size("values").cast("long").alias("n"), F.array_join(F.col("timestamps").cast("array<string>"), ",").alias("times"), F.array_join(F.transform("values", lambda v: (v * 100).cast("long").cast("string")), ",").alias("cents"))
+
+
+QUERIES["export_samples"] = export_samples
+ORACLE_SQL["export_samples"] = f"WITH {_SAM} SELECT event_type, user_id, count(*) AS n, string_agg(CAST(t AS VARCHAR), ',' ORDER BY t, v) AS times, string_agg(CAST(CAST(trunc(v * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY t, v) AS cents FROM sam GROUP BY ALL"
+
+# --- two copies of the samples, one of which lacks some and is repaired
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    a = fixtures.EVENTS.samples(spark, sf_dir)
+    return a, a.filter("t % 11 <> 3")
+
+
+def replica_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second copy lacks."""
+    lost = diff.missing(*_copies(spark, sf_dir)).join(fixtures.EVENTS.series(spark, sf_dir), "sid")
+    return lost.select(*[label(F.col("label_key"), n).alias(n) for n in BOTH], "t", "v")
+
+
+QUERIES["replica_diff"] = replica_diff
+ORACLE_SQL["replica_diff"] = f"WITH {_SAM} SELECT event_type, user_id, t, v FROM sam WHERE t % 11 = 3"
+QUERIES["replica_repair"] = lambda spark, sf_dir: diff.repaired(*_copies(spark, sf_dir)).groupBy("t").agg(F.count("*").alias("n"), F.max("v").alias("v"))
+ORACLE_SQL["replica_repair"] = f"WITH {_SAM} SELECT t, count(*) AS n, max(v) AS v FROM sam GROUP BY ALL"
+
+# --- formats: events written as lines and read again
+
+
+def line_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest value of each series, from line protocol."""
+    from .sources import lineprotocol
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = rows.select(F.concat(F.lit("events,event_type="), "event_type", F.lit(",user_id="), F.col("user_id").cast("string"), F.lit(" value="), F.col("value").cast("string"), F.lit(' ,note="x" '.strip()), F.lit(" "), F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).alias("value"))
+    back = lineprotocol.parse(lines, "ms", START).filter("error is null and labels is not null")
+    return back.groupBy(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user_id"].alias("user_id")).agg(F.max_by("v", "t").alias("v"), F.count("*").alias("n"), F.sum("skipped").alias("skipped"))
+
+
+QUERIES["line_round_trip"] = line_round_trip
+ORACLE_SQL["line_round_trip"] = f"WITH {_SAM} SELECT event_type, user_id, arg_max(v, t) AS v, count(*) AS n, count(*) AS skipped FROM sam GROUP BY ALL"
+
+
+def exposition_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples a series, from the text format, with a label that lines lack."""
+    from .sources import exposition
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = rows.select(F.format_string('events_value{event_type="%s",user_id="%s"} %s %s', "event_type", F.col("user_id").cast("string"), F.col("value").cast("string"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).alias("value"))
+    back = exposition.parse(lines, START, {"job": "fixture"})
+    return back.groupBy(F.col("labels")["event_type"].alias("event_type"), F.col("labels")["job"].alias("job")).agg(F.max("v").alias("v"), F.min("t").alias("t"), F.count("*").alias("n"))
+
+
+QUERIES["exposition_round_trip"] = exposition_round_trip
+ORACLE_SQL["exposition_round_trip"] = f"WITH {_SAM} SELECT event_type, 'fixture' AS job, max(v) AS v, min(t) AS t, count(*) AS n FROM sam GROUP BY ALL"
