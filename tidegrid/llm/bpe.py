@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words kept merged by a worker; past it the store starts anew.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 200_000
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 SPACE = regex.compile(r"\s+")
 
