@@ -1,6 +1,8 @@
 """Registered queries of the metrics engine over the fixture tables, each with its SQL.
 
-The grid has 100 steps of six hours.  Sums are rounded on both sides because the
+The grid has 100 steps of six hours and ends before the events do (2024-01-25 18:00 of
+2024-01-30), so each range query is registered once more as NAME_whole: on a grid from
+the first to the last time of its tables, found by reading them.  Sums are rounded on both sides because the
 order of addition is open; counts, extremes and last values are compared exactly.
 Times are floored to milliseconds (DuckDB's epoch_ms rounds).
 """
@@ -43,6 +45,25 @@ _G = f"g AS (SELECT {START} + i * {STEP} AS ts FROM range({N}) r(i))"
 _SAM = "sam AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, (epoch_us(ts) // 1000) AS t, value AS v FROM events)"
 
 
+def whole(spark: SparkSession, sf_dir: str, *metrics: fixtures.Metric, start: int = START, step: int = STEP, off: int = 0) -> tuple[int, int]:
+    """First and last step of the grid through start that spans all times of the metrics; off: how far the query looks back of a step."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spans = [m.rows(spark, sf_dir).select(F.unix_millis(F.col(m.time).cast("timestamp")).alias("t")).agg(F.min("t"), F.max("t")).first() for m in metrics]
+    found = [x for x in spans if x[0] is not None]
+    if not found:
+        return start, start
+    return start + (min(x[0] for x in found) - start) // step * step, start - (start - off - max(x[1] for x in found)) // step * step
+
+
+def _whole(times: str, start: int = START, step: int = STEP, off: int = 0) -> str:
+    """The same grid in SQL; times: a query of all times as t."""
+    span = f"SELECT CAST(floor((min(t) - {start}) / {step}) AS BIGINT) AS lo, CAST(ceil((max(t) + {off} - {start}) / {step}) AS BIGINT) AS hi FROM ({times})"
+    return f"g AS (SELECT {start} + unnest(range(lo, hi + 1)) * {step} AS ts FROM ({span}))"
+
+
+_TIMES = "SELECT epoch_us(ts) // 1000 AS t FROM events"
+
+
 def _win(w: int, off: int = 0, where: str = "true", sam: str = _SAM, labels: str = "event_type, user_id") -> str:
     cols = ", ".join(f"sam.{c.strip()}" for c in labels.split(","))
     return f"WITH {_G}, {sam}, w AS (SELECT {cols}, g.ts, sam.t, sam.v FROM g JOIN sam ON sam.t > g.ts - {off + w} AND sam.t <= g.ts - {off} WHERE {where})"
@@ -52,12 +73,22 @@ def _over(agg: str, w: int, off: int = 0, where: str = "true", name: str = "r")
     return f"{_win(w, off, where)}, {name} AS (SELECT event_type, user_id, ts, {agg} AS v FROM w GROUP BY ALL)"
 
 
-def add(name: str, text: str, sql: str, labels: tuple[str, ...] = BOTH, digits: int | None = None, lookback: int = 6 * HOUR, metrics: tuple = (), **options) -> None:
+def add(name: str, text: str, sql: str, labels: tuple[str, ...] = BOTH, digits: int | None = None, lookback: int = 6 * HOUR, metrics: tuple = (), off: int = 0, **options) -> None:
+    """Register a range query on the fixed grid and, if it reads events alone, on the whole one; off: the offset in text."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return flat(engine(spark, sf_dir, *metrics, lookback=lookback, **options).query_range(text, START, END, STEP), labels, digits)
 
     QUERIES[name] = run
     ORACLE_SQL[name] = sql
+    if metrics or "events_value" not in text:
+        return
+
+    def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flat(engine(spark, sf_dir, lookback=lookback, **options).query_range(text, *whole(spark, sf_dir, fixtures.EVENTS, off=off), STEP), labels, digits)
+
+    QUERIES[f"{name}_whole"] = run_whole
+    ORACLE_SQL[f"{name}_whole"] = sql.replace(_G, _whole(_TIMES, off=off))
 
 
 def _rounded(cols: str, digits: int | None, source: str = "r") -> str:
@@ -65,7 +96,7 @@ def _rounded(cols: str, digits: int | None, source: str = "r") -> str:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["max_ot_by_type"](spark, sf_dir)
+    return QUERIES["max_ot_by_type_whole"](spark, sf_dir)
 
 
 # --- selection
@@ -80,7 +111,7 @@ for _name, _sel, _where in (
 ):
     add(_name, f"events_value{_sel}", _over(_LAST6, 6 * HOUR, 0, _where) + _rounded(" event_type, user_id", None))
 add("instant_lookback", "events_value", _over(_LAST6, HOUR) + _rounded(" event_type, user_id", None), lookback=HOUR)
-add("offset_1d", "events_value offset 1d", _over(_LAST6, 6 * HOUR, DAY) + _rounded(" event_type, user_id", None))
+add("offset_1d", "events_value offset 1d", _over(_LAST6, 6 * HOUR, DAY) + _rounded(" event_type, user_id", None), off=DAY)
 
 # --- functions over windows
 
@@ -90,7 +121,7 @@ for _name, _f, _agg, _digits in (
     ("stddev_ot", "stddev_over_time", "stddev_pop(v)", 6), ("stdvar_ot", "stdvar_over_time", "var_pop(v)", 6),
 ):
     add(_name, f"{_f}(events_value[1d])", _over(_agg, DAY) + _rounded(" event_type, user_id", _digits), digits=_digits)
-add("max_ot_unaligned", "max_over_time(events_value[7h] offset 90m)", _over("max(v)", 7 * HOUR, 90 * 60_000) + _rounded(" event_type, user_id", None))
+add("max_ot_unaligned", "max_over_time(events_value[7h] offset 90m)", _over("max(v)", 7 * HOUR, 90 * 60_000) + _rounded(" event_type, user_id", None), off=90 * 60_000)
 
 
 def _lagged(w: int, off: int = 0) -> str:
@@ -111,7 +142,7 @@ def _rate(w: int, counter: bool, per_second: bool, off: int = 0) -> str:
 
 add("rate_q", "rate(events_value[2d])", _rate(2 * DAY, True, True) + _rounded("event_type, user_id", 12), digits=12)
 add("increase_q", "increase(events_value[2d])", _rate(2 * DAY, True, False) + _rounded("event_type, user_id", 5), digits=5)
-add("delta_q", "delta(events_value[50h] offset 1d)", _rate(50 * HOUR, False, False, DAY) + _rounded("event_type, user_id", 5), digits=5)
+add("delta_q", "delta(events_value[50h] offset 1d)", _rate(50 * HOUR, False, False, DAY) + _rounded("event_type, user_id", 5), digits=5, off=DAY)
 add(
     "irate_q", "irate(events_value[2d])",
     f"{_lagged(2 * DAY)}, a AS (SELECT event_type, user_id, ts, arg_max(v, t) AS v, max(t) AS t1, arg_max({{'p': pv, 't': pt}}, t) AS p FROM w GROUP BY ALL), r AS (SELECT event_type, user_id, ts, (CASE WHEN v < p.p THEN v ELSE v - p.p END) / ((t1 - p.t) / 1000.0::DOUBLE) AS v FROM a WHERE p.p IS NOT NULL) " + _rounded("event_type, user_id", 9),
@@ -168,7 +199,7 @@ add("topk_varying", f"topk(scalar(count({_LAST})) % 3, {_LAST})", f"{_L} SELECT
 BOUNDS = (50_000, 100_000, 200_000, 300_000)
 
 
-def hist_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _half_years(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
     """Median order price of each priority, from cumulative buckets of half-years."""
     from .model import identified, series_of
     from .plans.engine import Store
@@ -180,14 +211,13 @@ def hist_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = rows.groupBy("p", t.alias("t")).agg(*[F.count_if(F.col("x") <= b).cast("double").alias(f"b{b}") for b in BOUNDS], F.count("*").cast("double").alias("all"))
     both = counted.select("p", "t", F.explode(F.arrays_zip(bounds.alias("le"), F.array(*[f"b{b}" for b in BOUNDS], "all").alias("v"))).alias("z")).select("p", "t", "z.le", "z.v")
     samples = identified(both.select("t", "v", F.create_map(F.lit("__name__"), F.lit("price_bucket"), F.lit("priority"), F.col("p"), F.lit("le"), F.col("le")).alias("labels")))
-    first = 9 * 365 * DAY // (180 * DAY) * 180 * DAY + 13 * 365 * DAY // (180 * DAY) * 180 * DAY
-    first -= first % (180 * DAY)
-    out = Engine(spark, Store.of(samples, series_of(samples)), Options(align=False)).query_range("histogram_quantile(0.5, price_bucket)", first, first + 19 * 180 * DAY, 180 * DAY)
+    out = Engine(spark, Store.of(samples, series_of(samples)), Options(align=False)).query_range("histogram_quantile(0.5, price_bucket)", first, last, 180 * DAY)
     return flat(out, ("priority",), 6)
 
 
 _FIRST = (lambda x: x - x % (180 * DAY))(9 * 365 * DAY // (180 * DAY) * 180 * DAY + 13 * 365 * DAY // (180 * DAY) * 180 * DAY)
-QUERIES["hist_quantile"] = hist_quantile
+QUERIES["hist_quantile"] = lambda spark, sf_dir: _half_years(spark, sf_dir, _FIRST, _FIRST + 19 * 180 * DAY)
+QUERIES["hist_quantile_whole"] = lambda spark, sf_dir: _half_years(spark, sf_dir, *whole(spark, sf_dir, fixtures.ORDERS, start=0, step=180 * DAY))
 ORACLE_SQL["hist_quantile"] = f"""
     WITH o AS (SELECT o_orderpriority AS priority, (epoch_us(o_orderdate) // 1000) AS t, o_totalprice AS x FROM orders),
     b AS (SELECT priority, t + (({180 * DAY} - t % {180 * DAY}) % {180 * DAY}) AS ts, x FROM o),
@@ -196,6 +226,7 @@ ORACLE_SQL["hist_quantile"] = f"""
     d AS (SELECT *, lag(le, 1, 0) OVER o AS pl, lag(m, 1, 0) OVER o AS pm, max(m) OVER (PARTITION BY priority, ts) AS tot FROM c WINDOW o AS (PARTITION BY priority, ts ORDER BY le)),
     e AS (SELECT * FROM d WHERE m >= 0.5 * tot QUALIFY row_number() OVER (PARTITION BY priority, ts ORDER BY le) = 1)
     SELECT priority, ts, round(CASE WHEN le = 'Infinity' THEN pl ELSE pl + (le - pl) * ((0.5 * tot - pm) / (m - pm)) END, 6) AS v FROM e"""
+ORACLE_SQL["hist_quantile_whole"] = ORACLE_SQL["hist_quantile"].replace(f"WHERE ts BETWEEN {_FIRST} AND {_FIRST + 19 * 180 * DAY} ", "")
 
 # --- rollups
 
@@ -222,6 +253,13 @@ def _hybrid(name: str, text: str, sql: str, digits: int | None = None) -> None:
     QUERIES[name] = run
     ORACLE_SQL[name] = sql.replace(f"SELECT {START} + i", f"SELECT {START + 1234} + i")
 
+    def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, rollups=_events_rollups(spark, sf_dir), rollup="force", align=False)
+        return flat(e.query_range(text, *whole(spark, sf_dir, fixtures.EVENTS, start=START + 1234), STEP), BOTH, digits)
+
+    QUERIES[f"{name}_whole"] = run_whole
+    ORACLE_SQL[f"{name}_whole"] = sql.replace(_G, _whole(_TIMES, START + 1234))
+
 
 _hybrid("rollup_hybrid_max", "max_over_time(events_value[1d])", _over("max(v)", DAY) + _rounded(" event_type, user_id", None))
 _hybrid("rollup_hybrid_last", "last_over_time(events_value[1d])", _over("arg_max(v, t)", DAY) + _rounded(" event_type, user_id", None))
@@ -248,6 +286,17 @@ add("two_metrics", "count by (__name__) (last_over_time({__name__=~'events_.*|or
     SELECT n AS __name__, ts, CAST(count(DISTINCT k) AS DOUBLE) AS v FROM g JOIN s ON t > ts - {DAY} AND t <= ts GROUP BY ALL""", ("__name__",), metrics=(fixtures.EVENTS, fixtures.ORDERS))
 
 
+def two_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series with a sample of either metric, by months from the first order to the last event."""
+    both = (fixtures.EVENTS, fixtures.ORDERS)
+    grid = whole(spark, sf_dir, *both, start=0, step=30 * DAY)
+    return flat(engine(spark, sf_dir, *both).query_range("count by (__name__) (last_over_time({__name__=~'events_.*|orders_.*'}[30d]))", *grid, 30 * DAY), ("__name__",))
+
+
+QUERIES["two_metrics_whole"] = two_metrics_whole
+ORACLE_SQL["two_metrics_whole"] = ORACLE_SQL["two_metrics"].replace(_G, _whole(f"{_TIMES} UNION ALL SELECT epoch_us(o_orderdate) // 1000 FROM orders", 0, 30 * DAY)).replace(f"ts - {DAY} ", f"ts - {30 * DAY} ")
+
+
 # --- admission of arrivals: events by a scrambled order of their ids
 
 _ORDER = "(event_id * 7919) % 10007"
@@ -297,6 +346,16 @@ def series_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["series_list"] = series_list
 ORACLE_SQL["series_list"] = f"SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE regexp_full_match(event_type, 'c.*|p.*') AND epoch_us(ts) // 1000 BETWEEN {START} AND {START + 10 * DAY}"
+
+
+def series_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all times."""
+    found = metadata.series(_stored(spark, sf_dir), ['{event_type="click"}', '{event_type=~"c.*|p.*"}'], *whole(spark, sf_dir, fixtures.EVENTS))
+    return found.select(*[label(F.col("label_key"), n).alias(n) for n in BOTH])
+
+
+QUERIES["series_list_whole"] = series_list_whole
+ORACLE_SQL["series_list_whole"] = "SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE regexp_full_match(event_type, 'c.*|p.*')"
 QUERIES["label_names"] = lambda spark, sf_dir: metadata.label_names(_stored(spark, sf_dir))
 ORACLE_SQL["label_names"] = f"WITH {_PAIRS} SELECT DISTINCT k AS name FROM p"
 QUERIES["label_values"] = lambda spark, sf_dir: metadata.label_values(_stored(spark, sf_dir), "user_id", ['{event_type="click"}'])
