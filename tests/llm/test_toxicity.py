@@ -79,3 +79,17 @@ def test_every_window_of_a_long_text_counts():
     calm = "the green tree stands there " * 3000
     s = toxicity.score_column(net, pa.array([calm, calm + "vile fool hate you " * 3, "vile fool hate you " * 3 + calm]))
     assert s[0] < 0.5 < min(s[1], s[2])
+
+
+def test_the_first_epochs_take_every_window(monkeypatch):
+    texts = [b"vile fool hate you " * 40] * 700 + [b"the green tree stands there " * 40] * 2100
+    _, first, _ = toxicity.windows(np.cumsum([0, *[len(t.split()) for t in texts]]))
+    seen, forward = [], toxicity.Net.forward
+
+    def counted(net, px, at, mask, keep=False):
+        seen.append(len(at) if keep else 0)
+        return forward(net, px, at, mask, keep)
+
+    monkeypatch.setattr(toxicity.Net, "forward", counted)
+    toxicity.train(texts, np.array([1] * 700 + [0] * 2100), epochs=1)
+    assert sum(seen) == len(first) > 18_000

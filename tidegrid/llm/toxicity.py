@@ -5,7 +5,7 @@ character 3- to 5-grams.  A gated recurrent layer reads each window of ``WINDOW`
 tokens in both directions, attention pools its states, a logistic unit scores it.
 Windows overlap by half and cover the whole text; a text's score is its highest
 window's.  Trained in numpy by back-propagation (Adam): labels belong to texts, so
-after a first pass over all windows each toxic text teaches through its windows of
+after two passes over all windows each toxic text teaches through its windows of
 highest score, and each clean one through its highest and some others.
 
 Fitting takes a bounded sample, at most ``SAMPLE`` texts of each class, those of the
@@ -198,8 +198,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 9, size: int = 2
     toxic, clean = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
     for epoch in range(epochs):
         if epoch < 2:
-            pos = rng.permutation(toxic)[:6000]
-            neg = rng.permutation(clean)[: max(1, len(pos) * 2)]
+            pos, neg = toxic, clean
         else:
             px = net.project(net.inputs(word, grams, counts))
             logits = np.concatenate([net.forward(px, *spots(first[i : i + BATCH], end[i : i + BATCH], of))[0] for i in range(0, len(doc), BATCH)])
