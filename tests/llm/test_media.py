@@ -88,3 +88,9 @@ def test_nulls_empty_tables_and_clashing_names(frame):
     assert media.decode(stored).first().kept == "k"
     nothing = media.encode(frame([(1, "a")])).selectExpr("doc_id", "cast(null as binary) as media")
     assert media.decode(nothing).first().payload is None
+
+
+def test_stored_lines_are_filtered(frame):
+    for r in media.encode(frame([(1, "some text " * 50), (2, None)])).collect():
+        idat = b"".join(body for kind, body in media.png_chunks(bytes(r.media)) if kind == b"IDAT")
+        assert set(zlib.decompress(idat)[:: media.WIDTH + 1]) == {2}

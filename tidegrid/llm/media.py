@@ -1,7 +1,7 @@
 """Media columns: PNG images in binary columns and cosine-transform hashes (operator 5).
 
-``encode`` stores bytes as 8-bit grey samples of a 64-sample-wide PNG; ``decode``
-walks the chunks, tests every checksum, inflates, undoes the line filters in
+``encode`` stores bytes as 8-bit grey samples of a 64-sample-wide PNG, each line less
+the one above (filter up); ``decode`` walks the chunks, tests every checksum, inflates, undoes the line filters in
 numpy and derives a perceptual hash: the picture is averaged to 32 x 32, its
 lowest 8 x 8 cosine coefficients are compared with their median.
 
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 WIDTH = 64
+#: The line filter that encode writes: up, which decode undoes.
+FILTER = 2
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -149,7 +151,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 for x in part.column(1).cast(pa.binary()).to_pylist():
                     x = x or b""
                     sizes.append(len(x))
-                    made.append(png_encode(np.frombuffer(padded(x), np.uint8).reshape(-1, WIDTH)))
+                    made.append(png_encode(np.frombuffer(padded(x), np.uint8).reshape(-1, WIDTH), FILTER))
                 yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     schema = T.StructType([df.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
