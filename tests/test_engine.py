@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tidegrid.plans.engine import Engine, Options, Store
 
 from . import brute
 
-T0 = 1_790_812_800_000
+T0 = 1_650_000_000_000
 
 
 def store_of(spark, series, rollups=False):
@@ -199,8 +200,26 @@ def test_alignment_and_limits(spark, engine):
 
 
 def test_deadlines(spark, engine):
+    slow = spark.range(0, 1 << 40, 1, 8).select(F.sum(F.sqrt(F.col("id") * 1.5)))
     with pytest.raises(Timeout), engine.deadline(0.3):
-        spark.range(0, 1 << 40, 1, 8).select(F.sum(F.sqrt(F.col("id") * 1.5))).collect()
+        slow.collect()
+    with pytest.raises(Timeout), engine.deadline(0.3):  # a job that starts after the time
+        time.sleep(1)
+        slow.collect()
+    with pytest.raises(Timeout), engine.deadline(0.1):  # no job at all
+        time.sleep(0.5)
+    with engine.deadline(60):
+        assert spark.range(3).count() == 3
+
+
+def test_increase_counts_resets_inside_the_window_only(spark):
+    for big in (1000.0, 1e18, math.inf):
+        store = store_of(spark, {metric("m"): [(T0 + i * 10_000, v) for i, v in enumerate((1.0, big, 1.0, 5.0, 4.0))]})
+        for window, step in (("25s", 20_000), ("40s", 20_000), ("30s", 5000)):
+            got = points(Engine(spark, store, Options(align=False)).query_range(f"increase(m[{window}])", T0, T0 + 40_000, step))
+            w = int(window[:-1]) * 1000
+            want = {((), ts): v for ts in range(T0, T0 + 40_001, step) if (v := brute.over_time("increase", [(T0 + i * 10_000, v) for i, v in enumerate((1.0, big, 1.0, 5.0, 4.0))], ts - w, ts)) is not None}
+            same(got, want)
 
 
 def test_matching_needs_one_right_side(spark):

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidegrid import queries
+from tidegrid import queries, storequeries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,23 +18,20 @@ def answers(sql: str, sf_dir: str = SMALL) -> list[tuple]:
     return db.execute(sql).fetchall()
 
 
-@pytest.mark.parametrize("name", ["max_ot_by_type_whole", "offset_1d_whole", "rollup_hybrid_count_whole", "hist_quantile_whole", "two_metrics_whole", "series_list_whole"])
+@pytest.mark.parametrize("name", ["max_ot_by_type", "offset_1d", "rollup_hybrid_count", "hist_quantile", "two_metrics", "series_list", "increase_after_resets", "rollup_aligned_max", *storequeries.QUERIES])
 def test_whole_queries_match_their_sql(spark, name):
-    got = [tuple(r) for r in queries.QUERIES[name](spark, SMALL).collect()]
-    assert got and sorted(got) == sorted(answers(queries.ORACLE_SQL[name]))
-
-
-def test_every_range_query_has_a_whole_one():
-    fixed = [n for n, sql in queries.ORACLE_SQL.items() if f"range({queries.N})" in sql]
-    assert {n for n in fixed if f"{n}_whole" not in queries.QUERIES} == {"scalar_scalar", "time_q", "vector_q"}  # these read no table
+    df = (queries.QUERIES | storequeries.QUERIES)[name](spark, SMALL)
+    got = [tuple(r) for r in df.select(sorted(df.columns)).collect()]
+    want = answers(f"SELECT {', '.join(sorted(df.columns))} FROM ({(queries.ORACLE_SQL | storequeries.ORACLE_SQL)[name]})")
+    assert got and sorted(got) == sorted(want)
 
 
 def test_the_last_rows_are_read(spark):
     last_event, last_order = answers("SELECT max(epoch_ms(ts)) FROM events")[0][0], answers("SELECT max(epoch_ms(o_orderdate)) FROM orders")[0][0]
     assert max(r.ts for r in __spark_entry__.entry(spark).collect()) >= last_event
-    assert max(r.ts for r in queries.QUERIES["hist_quantile_whole"](spark, SMALL).collect()) >= last_order
-    assert {r["__name__"] for r in queries.QUERIES["two_metrics_whole"](spark, SMALL).collect()} == {"events_value", "orders_price"}
+    assert max(r.ts for r in queries.QUERIES["hist_quantile"](spark, SMALL).collect()) >= last_order
+    assert {r["__name__"] for r in queries.QUERIES["two_metrics"](spark, SMALL).collect()} == {"events_value", "orders_price"}
     events = answers("SELECT count(*) FROM events")[0][0]
-    counted = queries.QUERIES["count_ot_whole"](spark, SMALL).collect()
+    counted = queries.QUERIES["count_ot"](spark, SMALL).collect()
     last = max(r.ts for r in counted)
     assert sum(r.v for r in counted if (last - r.ts) % queries.DAY == 0) == events  # windows of a day, side by side

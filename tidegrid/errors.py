@@ -17,3 +17,7 @@ class LimitExceeded(QueryError):
 
 class Timeout(QueryError):
     kind, status = "timeout", 503
+
+
+class Unavailable(QueryError):
+    kind, status = "unavailable", 503

@@ -16,15 +16,28 @@ OK, LATE, DUPLICATE, TOO_OLD, REFUSED = "ok", "late", "duplicate", "too_old", "c
 ADMITTED = (OK, LATE)
 
 
-def classify(samples: DataFrame, window: int = 600_000, min_valid: int | None = None, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """samples (sid, t, v, ...) with ``verdict``. One shuffle, by series."""
+def classify(samples: DataFrame, window: int = 600_000, min_valid: int | None = None, order: tuple[str, ...] = ("seq",), stored: DataFrame | None = None, most_late: int | None = None) -> DataFrame:
+    """samples (sid, t, v, ...) with ``verdict``. One shuffle, by series.
+
+    ``stored``: (sid, t) admitted before.  ``most_late``: late samples a series may hold;
+    further ones count as too old, later copies of those too.
+    """
     valid = F.lit(True) if min_valid is None else F.col("t") >= min_valid
     arrival = Window.partitionBy("sid").orderBy(*order)
     before = arrival.rowsBetween(Window.unboundedPreceding, -1)
     newest = F.max(F.when(valid, F.col("t"))).over(before)
     copy = F.row_number().over(Window.partitionBy("sid", "t").orderBy(*order)) > 1
+    if stored is not None:
+        samples = samples.join(stored.groupBy("sid").agg(F.max("t").alias("_top")), "sid", "left").join(stored.distinct().withColumn("_held", F.lit(True)), ["sid", "t"], "left")
+        newest, copy = F.greatest(newest, F.col("_top")), copy | F.coalesce("_held", F.lit(False))
     judged = samples.withColumn("_newest", newest).withColumn("_copy", copy)
-    return judged.withColumn("verdict", verdict(F.col("t"), F.col("_newest"), F.col("_copy"), window, valid)).drop("_newest", "_copy")
+    out = judged.withColumn("verdict", verdict(F.col("t"), F.col("_newest"), F.col("_copy"), window, valid))
+    if most_late is not None:
+        late = F.col("verdict") == LATE
+        full = out.withColumn("_full", late & (F.count_if(late).over(arrival) > most_late))
+        over = F.max("_full").over(Window.partitionBy("sid", "t"))
+        out = full.withColumn("verdict", F.when(F.col("_full") | ((F.col("verdict") == DUPLICATE) & over), TOO_OLD).otherwise(F.col("verdict")))
+    return out.drop("_newest", "_copy", "_top", "_held", "_full")
 
 
 def verdict(t: Column, newest: Column, copy: Column, window: int, valid: Column) -> Column:

@@ -37,22 +37,45 @@ def applies(name: str, w: int, grid: Grid, mode: str, res: int = RESOLUTION) ->
     return mode == "force" or w >= 1_800_000 and (grid.n == 1 or 2 * grid.step >= w)
 
 
-def over_time(samples: DataFrame, rollups: DataFrame, name: str, w: int, offset: int, grid: Grid, res: int = RESOLUTION) -> DataFrame:
-    """The same points as from raw samples (sums up to rounding)."""
+#: Ranges of raw samples asked for one by one; beyond that neighbours are read as one range.
+RANGES = 128
+
+
+def edges(w: int, offset: int, grid: Grid, res: int = RESOLUTION) -> list[tuple[int, int]]:
+    """Ranges (both ends included) that hold the raw samples of all windows' edges; none on a grid of whole buckets."""
+    found: list[tuple[int, int]] = []
+    for i in range(grid.n):
+        end = grid.start + i * grid.step - offset
+        start = end - w
+        found += [(start + 1, start + -start % res), (end - end % res + 1, end)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(x for x in found if x[0] <= x[1]):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    each = -(-len(out) // RANGES) or 1
+    return [(out[i][0], out[min(i + each, len(out)) - 1][1]) for i in range(0, len(out), each)]
+
+
+def over_time(samples: DataFrame | None, rollups: DataFrame, name: str, w: int, offset: int, grid: Grid, res: int = RESOLUTION) -> DataFrame:
+    """The same points as from raw samples (sums up to rounding); samples: those of the edges, None if there are none."""
     t = F.col("t")
     end = F.col("step_ts") - offset
     a, b = bucket_end(end - w, res), end - F.pmod(end, F.lit(res))
-    # a sample is raw only in the windows that start or end within its own bucket: few steps, not w / step;
-    # a window is two buckets at least, so the two edges never meet
-    tail = expand(samples, first_step(t, grid, offset), last_step(t, grid, offset, res), grid).filter(t > b)
-    head = expand(samples, first_step(t + (w - res), grid, offset), last_step(t, grid, offset, w), grid).filter(t <= a)
-    raw = head.unionByName(tail)
     pieces = {"max_over_time": ["mx"], "min_over_time": ["mn"], "sum_over_time": ["sm"], "avg_over_time": ["sm", "cnt"], "count_over_time": ["cnt"], "last_over_time": ["la"]}[name]
-    state = raw.groupBy("sid", "step_ts").agg(*_partials(name, F.col("v"), F.col("t")))
     bucket = rollups.withColumnRenamed("e", "t")
     whole = expand(bucket.select("sid", "t", *pieces), first_step(F.col("t"), grid, offset), last_step(F.col("t"), grid, offset, w), grid)
     whole = whole.filter((t > a) & (t <= b))
     if name == "last_over_time":
         whole = whole.withColumn("la", F.struct(F.col("t"), F.col("la").alias("v")))
-    both = state.unionByName(whole.select("sid", "step_ts", *pieces))
+    both = whole.select("sid", "step_ts", *pieces)
+    if samples is not None:
+        # a sample is raw only in the windows that start or end within its own bucket: few steps, not w / step;
+        # a window is two buckets at least, so the two edges never meet
+        tail = expand(samples, first_step(t, grid, offset), last_step(t, grid, offset, res), grid).filter(t > b)
+        head = expand(samples, first_step(t + (w - res), grid, offset), last_step(t, grid, offset, w), grid).filter(t <= a)
+        raw = head.unionByName(tail)
+        state = raw.groupBy("sid", "step_ts").agg(*_partials(name, F.col("v"), F.col("t")))
+        both = both.unionByName(state.select("sid", "step_ts", *pieces))
     return both.groupBy("sid", "step_ts").agg(_merged(name).alias("v"))

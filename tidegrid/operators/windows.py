@@ -3,8 +3,10 @@
 Samples are expanded to the steps whose windows hold them by integer arithmetic
 (no range join) and aggregated by hash.  Where the window is a multiple of the
 step, samples are first reduced to one partial a step, and the partials are
-expanded: the fan-out then is by steps, not by samples.  All partials merge:
-counter corrections too, as the sum of drops less the first sample's own.
+expanded: the fan-out then is by steps, not by samples.  All partials merge.  A
+counter's drop belongs to a window only if the sample before it does, so the drop
+of a partial's first sample stays apart until the window is known: nothing is added
+that would have to be taken off again.
 """
 
 from __future__ import annotations
@@ -103,19 +105,24 @@ def _rates(samples: DataFrame, name: str, w: int, offset: int, grid: Grid) -> Da
     """Extrapolated rate, increase and delta from mergeable counts, ends and drops."""
     counter = name != "delta"
     drop = F.when(F.col("pv").isNotNull() & ieee.COMPARE["<"](F.col("v"), F.col("pv")), F.col("pv")).otherwise(F.lit(0.0))
-    rows = _lagged(samples).select("sid", "t", "v", drop.alias("c"))
-    first, last = F.min(F.struct("t", "v", "c")), F.max(F.struct("t", "v"))
+    rows = _lagged(samples).select("sid", "t", "v", "pt", drop.alias("d"))
+    opens = F.col("step_ts") - (w + offset)
     if bucketed(w, grid):
-        own = rows.withColumn("_b", floor_div(F.col("t") + (offset - grid.start + grid.step - 1), grid.step))
-        part = own.groupBy("sid", "_b").agg(F.count("*").alias("n"), first.alias("f"), last.alias("l"), F.sum("c").alias("c"))
+        bucket = lambda t: floor_div(F.col(t) + (offset - grid.start + grid.step - 1), grid.step)
+        own = rows.withColumn("_b", bucket("t"))
+        inner = F.when(bucket("pt") == F.col("_b"), F.col("d")).otherwise(0.0)
+        part = own.groupBy("sid", "_b").agg(F.count("*").alias("n"), F.min(F.struct("t", "v", "pt", "d")).alias("f"), F.max(F.struct("t", "v")).alias("l"), F.sum(inner).alias("c"))
         rows = expand(part, F.greatest(F.lit(0), F.col("_b")), F.col("_b") + (w // grid.step - 1), grid)
-        state = rows.groupBy("sid", "step_ts").agg(F.sum("n").alias("n"), F.min("f").alias("f"), F.max("l").alias("l"), F.sum("c").alias("c"))
+        # the drop between two partials counts where both lie in the window
+        between = F.when(F.col("f.pt") > opens, F.col("f.d")).otherwise(0.0)
+        state = rows.groupBy("sid", "step_ts").agg(F.sum("n").alias("n"), F.min("f").alias("f"), F.max("l").alias("l"), F.sum(F.col("c") + between).alias("c"))
     else:
         rows = expand(rows, first_step(F.col("t"), grid, offset), last_step(F.col("t"), grid, offset, w), grid)
-        state = rows.groupBy("sid", "step_ts").agg(F.count("*").alias("n"), first.alias("f"), last.alias("l"), F.sum("c").alias("c"))
+        inside = F.when(F.col("pt") > opens, F.col("d")).otherwise(0.0)
+        state = rows.groupBy("sid", "step_ts").agg(F.count("*").alias("n"), F.min(F.struct("t", "v")).alias("f"), F.max(F.struct("t", "v")).alias("l"), F.sum(inside).alias("c"))
     end = F.col("step_ts") - offset
     v0, t0, t1 = F.col("f.v"), F.col("f.t"), F.col("l.t")
-    grown = F.col("l.v") - v0 + ((F.col("c") - F.col("f.c")) if counter else F.lit(0.0))
+    grown = F.col("l.v") - v0 + (F.col("c") if counter else F.lit(0.0))
     span = (t1 - t0) / 1000
     x = state.filter("n >= 2").select("sid", "step_ts", grown.alias("r"), v0.alias("v0"), span.alias("span"), (span / (F.col("n") - 1)).alias("gap"), ((t0 - end + w) / 1000).alias("head"), ((end - t1) / 1000).alias("tail"))
     if counter:  # a counter starts at zero: no further back than that

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,17 +94,22 @@ class Engine:
 
     @contextmanager
     def deadline(self, seconds: float) -> Iterator[None]:
-        """Jobs started inside are cancelled after so many seconds, and Timeout is raised."""
-        tag, fired = f"deadline-{id(object())}-{threading.get_ident()}", threading.Event()
-        self.spark.addTag(tag)
-
-        def stop() -> None:
+        """Jobs inside are cancelled after so many seconds, later ones too, and Timeout is raised at the latest on leaving."""
+        context = self.spark.sparkContext
+        tag, fired, left = f"deadline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+        context.addJobTag(tag)
+
+        def watch() -> None:
+            if left.wait(seconds):
+                return
             fired.set()
-            self.spark.interruptTag(tag)
+            while True:  # a job may start after any one cancellation
+                context.cancelJobsWithTag(tag)
+                if left.wait(0.1):
+                    return
 
-        timer = threading.Timer(seconds, stop)
-        timer.daemon = True
-        timer.start()
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
         try:
             yield
         except Exception as e:
@@ -109,8 +117,11 @@ class Engine:
                 raise Timeout(f"no answer within {seconds} s") from e
             raise
         finally:
-            timer.cancel()
-            self.spark.removeTag(tag)
+            left.set()
+            watcher.join()
+            context.removeJobTag(tag)
+        if fired.is_set():
+            raise Timeout(f"no answer within {seconds} s")
 
 
 class Evaluation:
@@ -188,9 +199,16 @@ class Evaluation:
         return out if keep_name else out.nameless()
 
     def from_rollups(self, name: str, s: q.Selector, keep_name: bool) -> Vector:
-        samples, series = self.scan(s, s.range)
+        """Buckets, and raw samples of the windows' edges alone; on a grid of whole buckets no raw sample is read."""
+        series = select_series(self.store.series, s.matchers)
         lo, hi = self.bounds(s, s.range)
+        edges = rollup.edges(s.range, s.offset, self.grid)
+        raw = None
+        if edges:
+            held = self.store.scan(lo, hi).filter(reduce(or_, [F.col("t").between(a, b) for a, b in edges]))
+            raw = held.join(series.select("sid"), "sid", "left_semi")
+            self.charge(s, s.range, series, raw)
         buckets = self.store.rollups.filter(F.col("e").between(lo, hi)).join(series.select("sid"), "sid", "left_semi")
         self.used_rollup = True
-        out = Vector(rollup.over_time(samples, buckets, name, s.range, s.offset, self.grid), series)
+        out = Vector(rollup.over_time(raw, buckets, name, s.range, s.offset, self.grid), series)
         return out if keep_name else out.nameless()

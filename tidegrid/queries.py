@@ -1,26 +1,27 @@
 """Registered queries of the metrics engine over the fixture tables, each with its SQL.
 
-The grid has 100 steps of six hours and ends before the events do (2024-01-25 18:00 of
-2024-01-30), so each range query is registered once more as NAME_whole: on a grid from
-the first to the last time of its tables, found by reading them.  Sums are rounded on both sides because the
-order of addition is open; counts, extremes and last values are compared exactly.
+Each range query runs on a grid from the first to the last time of its tables, found by
+reading them.  Sums are rounded on both sides because the order of addition is open;
+counts, extremes and last values are compared exactly.
 Times are floored to milliseconds (DuckDB's epoch_ms rounds).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import label
+from .model import SAMPLES, label
 from .operators import admission, diff, metadata, rollup
 from .plans.engine import Engine, Options, Result
+from .shared import shared_dir
 from .sources import fixtures
+from .storage import Storage
 
-START, STEP, N = 1704067200000, 21_600_000, 100
-END = START + (N - 1) * STEP
+START, STEP = 1704067200000, 21_600_000
 HOUR = 3_600_000
 DAY = 24 * HOUR
 
@@ -41,7 +42,6 @@ def flat(result: Result, labels: tuple[str, ...], digits: int | None = None) ->
 
 
 ET, BOTH = ("event_type",), ("event_type", "user_id")
-_G = f"g AS (SELECT {START} + i * {STEP} AS ts FROM range({N}) r(i))"
 _SAM = "sam AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, (epoch_us(ts) // 1000) AS t, value AS v FROM events)"
 
 
@@ -62,6 +62,7 @@ def _whole(times: str, start: int = START, step: int = STEP, off: int = 0) -> st
 
 
 _TIMES = "SELECT epoch_us(ts) // 1000 AS t FROM events"
+_G = _whole(_TIMES)
 
 
 def _win(w: int, off: int = 0, where: str = "true", sam: str = _SAM, labels: str = "event_type, user_id") -> str:
@@ -74,21 +75,14 @@ def _over(agg: str, w: int, off: int = 0, where: str = "true", name: str = "r")
 
 
 def add(name: str, text: str, sql: str, labels: tuple[str, ...] = BOTH, digits: int | None = None, lookback: int = 6 * HOUR, metrics: tuple = (), off: int = 0, **options) -> None:
-    """Register a range query on the fixed grid and, if it reads events alone, on the whole one; off: the offset in text."""
+    """Register a range query over all times of its tables; off: the offset in text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat(engine(spark, sf_dir, *metrics, lookback=lookback, **options).query_range(text, START, END, STEP), labels, digits)
+        grid = whole(spark, sf_dir, *(metrics or (fixtures.EVENTS,)), off=off)
+        return flat(engine(spark, sf_dir, *metrics, lookback=lookback, **options).query_range(text, *grid, STEP), labels, digits)
 
     QUERIES[name] = run
-    ORACLE_SQL[name] = sql
-    if metrics or "events_value" not in text:
-        return
-
-    def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat(engine(spark, sf_dir, lookback=lookback, **options).query_range(text, *whole(spark, sf_dir, fixtures.EVENTS, off=off), STEP), labels, digits)
-
-    QUERIES[f"{name}_whole"] = run_whole
-    ORACLE_SQL[f"{name}_whole"] = sql.replace(_G, _whole(_TIMES, off=off))
+    ORACLE_SQL[name] = sql.replace(_G, _whole(_TIMES, off=off))
 
 
 def _rounded(cols: str, digits: int | None, source: str = "r") -> str:
@@ -96,7 +90,7 @@ def _rounded(cols: str, digits: int | None, source: str = "r") -> str:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["max_ot_by_type_whole"](spark, sf_dir)
+    return QUERIES["max_ot_by_type"](spark, sf_dir)
 
 
 # --- selection
@@ -143,6 +137,12 @@ def _rate(w: int, counter: bool, per_second: bool, off: int = 0) -> str:
 add("rate_q", "rate(events_value[2d])", _rate(2 * DAY, True, True) + _rounded("event_type, user_id", 12), digits=12)
 add("increase_q", "increase(events_value[2d])", _rate(2 * DAY, True, False) + _rounded("event_type, user_id", 5), digits=5)
 add("delta_q", "delta(events_value[50h] offset 1d)", _rate(50 * HOUR, False, False, DAY) + _rounded("event_type, user_id", 5), digits=5, off=DAY)
+_BIG = fixtures.Metric("big", "events", "ts", "CASE WHEN event_id % 17 = 0 THEN 1073741824 WHEN event_id % 41 = 0 THEN double('Infinity') ELSE floor(value) END", (("event_type", "event_type"),), "event_id")
+_BIG_SQL = f"""s0 AS (SELECT event_type, '' AS user_id, epoch_us(ts) // 1000 AS t, arg_min(CASE WHEN event_id % 17 = 0 THEN 1073741824 WHEN event_id % 41 = 0 THEN 'Infinity'::DOUBLE ELSE floor(value) END, event_id) AS v FROM events GROUP BY ALL), sam AS"""
+for _name, _w in (("increase_after_resets", 6 * HOUR), ("increase_after_resets_unaligned", 7 * HOUR)):
+    # whole numbers, so that sums do not depend on their order; a window that counts an infinite drop has no finite increase
+    _inc = _rate(_w, True, False)
+    add(_name, f"increase(big[{_w // HOUR}h]) < 1e300", _inc[: _inc.index("s0 AS")] + _BIG_SQL + _inc[_inc.index("sam AS") + 6 :] + "SELECT event_type, ts, round(v, 4) AS v FROM r WHERE v < 1e300", ET, 4, metrics=(_BIG,))
 add(
     "irate_q", "irate(events_value[2d])",
     f"{_lagged(2 * DAY)}, a AS (SELECT event_type, user_id, ts, arg_max(v, t) AS v, max(t) AS t1, arg_max({{'p': pv, 't': pt}}, t) AS p FROM w GROUP BY ALL), r AS (SELECT event_type, user_id, ts, (CASE WHEN v < p.p THEN v ELSE v - p.p END) / ((t1 - p.t) / 1000.0::DOUBLE) AS v FROM a WHERE p.p IS NOT NULL) " + _rounded("event_type, user_id", 9),
@@ -215,18 +215,15 @@ def _half_years(spark: SparkSession, sf_dir: str, first: int, last: int) -> Data
     return flat(out, ("priority",), 6)
 
 
-_FIRST = (lambda x: x - x % (180 * DAY))(9 * 365 * DAY // (180 * DAY) * 180 * DAY + 13 * 365 * DAY // (180 * DAY) * 180 * DAY)
-QUERIES["hist_quantile"] = lambda spark, sf_dir: _half_years(spark, sf_dir, _FIRST, _FIRST + 19 * 180 * DAY)
-QUERIES["hist_quantile_whole"] = lambda spark, sf_dir: _half_years(spark, sf_dir, *whole(spark, sf_dir, fixtures.ORDERS, start=0, step=180 * DAY))
+QUERIES["hist_quantile"] = lambda spark, sf_dir: _half_years(spark, sf_dir, *whole(spark, sf_dir, fixtures.ORDERS, start=0, step=180 * DAY))
 ORACLE_SQL["hist_quantile"] = f"""
     WITH o AS (SELECT o_orderpriority AS priority, (epoch_us(o_orderdate) // 1000) AS t, o_totalprice AS x FROM orders),
     b AS (SELECT priority, t + (({180 * DAY} - t % {180 * DAY}) % {180 * DAY}) AS ts, x FROM o),
     le AS (SELECT unnest([{", ".join(f"{b}::DOUBLE" for b in BOUNDS)}, 'Infinity'::DOUBLE]) AS le),
-    c AS (SELECT priority, ts, le, CAST(sum(CASE WHEN x <= le THEN 1 ELSE 0 END) AS DOUBLE) AS m FROM b, le WHERE ts BETWEEN {_FIRST} AND {_FIRST + 19 * 180 * DAY} GROUP BY ALL),
+    c AS (SELECT priority, ts, le, CAST(sum(CASE WHEN x <= le THEN 1 ELSE 0 END) AS DOUBLE) AS m FROM b, le GROUP BY ALL),
     d AS (SELECT *, lag(le, 1, 0) OVER o AS pl, lag(m, 1, 0) OVER o AS pm, max(m) OVER (PARTITION BY priority, ts) AS tot FROM c WINDOW o AS (PARTITION BY priority, ts ORDER BY le)),
     e AS (SELECT * FROM d WHERE m >= 0.5 * tot QUALIFY row_number() OVER (PARTITION BY priority, ts ORDER BY le) = 1)
     SELECT priority, ts, round(CASE WHEN le = 'Infinity' THEN pl ELSE pl + (le - pl) * ((0.5 * tot - pm) / (m - pm)) END, 6) AS v FROM e"""
-ORACLE_SQL["hist_quantile_whole"] = ORACLE_SQL["hist_quantile"].replace(f"WHERE ts BETWEEN {_FIRST} AND {_FIRST + 19 * 180 * DAY} ", "")
 
 # --- rollups
 
@@ -245,20 +242,29 @@ QUERIES["rollup_build"] = rollup_build
 ORACLE_SQL["rollup_build"] = f"WITH {_SAM} SELECT event_type, user_id, t + ((300000 - t % 300000) % 300000) AS e, min(v) AS mn, max(v) AS mx, round(sum(v), 6) AS sm, count(*) AS cnt, arg_max(v, t) AS la FROM sam GROUP BY ALL"
 
 
-def _hybrid(name: str, text: str, sql: str, digits: int | None = None) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = engine(spark, sf_dir, rollups=_events_rollups(spark, sf_dir), rollup="force", align=False)
-        return flat(e.query_range(text, START + 1234, END + 1234, STEP), BOTH, digits)
+def _stored_events(spark: SparkSession, sf_dir: str) -> Storage:
+    """Events written, compacted and rolled up in a store of their own."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = F.unix_millis(F.col("ts").cast("timestamp"))
+    storage = Storage(spark, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}")
+    storage.append(rows.select(fixtures.EVENTS.map().alias("labels"), t.alias("t"), F.col("value").alias("v"), F.col("event_id").alias("seq")), 0)
+    storage.compact()
+    return storage
 
-    QUERIES[name] = run
-    ORACLE_SQL[name] = sql.replace(f"SELECT {START} + i", f"SELECT {START + 1234} + i")
 
-    def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = engine(spark, sf_dir, rollups=_events_rollups(spark, sf_dir), rollup="force", align=False)
-        return flat(e.query_range(text, *whole(spark, sf_dir, fixtures.EVENTS, start=START + 1234), STEP), BOTH, digits)
+def _hybrid(name: str, text: str, sql: str, digits: int | None = None, start: int = START + 1234) -> None:
+    """From stored rollups: raw samples are read at the edges of windows alone, on a grid of whole buckets not at all."""
 
-    QUERIES[f"{name}_whole"] = run_whole
-    ORACLE_SQL[f"{name}_whole"] = sql.replace(_G, _whole(_TIMES, START + 1234))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = _stored_events(spark, sf_dir).store()
+        if start % rollup.RESOLUTION == 0:
+            store.scan = lambda lo, hi: spark.createDataFrame([], SAMPLES).select(F.raise_error(F.lit("raw samples were read")).cast("long").alias("sid"), "t", "v")
+        grid = whole(spark, sf_dir, fixtures.EVENTS, start=start)
+        return flat(Engine(spark, store, Options(rollup="force", align=False)).query_range(text, *grid, STEP), BOTH, digits)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql.replace(_G, _whole(_TIMES, start))
 
 
 _hybrid("rollup_hybrid_max", "max_over_time(events_value[1d])", _over("max(v)", DAY) + _rounded(" event_type, user_id", None))
@@ -267,35 +273,39 @@ _hybrid("rollup_hybrid_avg", "avg_over_time(events_value[1d])", _over("avg(v)",
 _hybrid("rollup_hybrid_sum", "sum_over_time(events_value[1d])", _over("sum(v)", DAY) + _rounded(" event_type, user_id", 6), 6)
 _hybrid("rollup_hybrid_count", "count_over_time(events_value[1d])", _over("CAST(count(*) AS DOUBLE)", DAY) + _rounded(" event_type, user_id", None))
 
+_hybrid("rollup_aligned_max", "max_over_time(events_value[1d])", _over("max(v)", DAY) + _rounded(" event_type, user_id", None), start=START)
+
 # --- shapes of the benchmark: few series over short windows, all series, double grouping
 
-_M5 = 'max by ({}) (max_over_time(events_value{}[{}]))'
-for _name, _by, _sel, _w, _where in (
-    ("tsbs_single_groupby_1_1_1", "event_type", '{user_id="1",event_type="click"}', "1h", "user_id = '1' AND event_type = 'click'"),
-    ("tsbs_single_groupby_1_8_1", "event_type", '{user_id=~"[1-8]",event_type="click"}', "1h", "regexp_full_match(user_id, '[1-8]') AND event_type = 'click'"),
-    ("tsbs_single_groupby_5_1_12", "event_type", '{user_id="1"}', "12h", "user_id = '1'"),
-    ("tsbs_single_groupby_5_8_1", "event_type", '{user_id=~"[1-8]"}', "1h", "regexp_full_match(user_id, '[1-8]')"),
-    ("tsbs_cpu_max_all_1", "event_type", '{user_id="1"}', "8h", "user_id = '1'"),
-    ("tsbs_cpu_max_all_8", "event_type", '{user_id=~"[1-8]"}', "8h", "regexp_full_match(user_id, '[1-8]')"),
-):
-    _ms = int(_w[:-1]) * HOUR
-    add(_name, _M5.format(_by, _sel, _w), f"{_win(_ms, 0, _where)} SELECT event_type, ts, max(v) AS v FROM w GROUP BY ALL", ET)
-for _name, _where, _sel in (("tsbs_double_groupby_1", "event_type = 'click'", '{event_type="click"}'), ("tsbs_double_groupby_5", "true", ""), ("tsbs_double_groupby_all", "true", "")):
-    add(_name, f"avg by (user_id, event_type) (avg_over_time(events_value{_sel}[{'12h' if _name.endswith('all') else '6h'}]))", _over("avg(v)", (12 if _name.endswith("all") else 6) * HOUR, 0, _where) + _rounded(" event_type, user_id", 6), digits=6)
-add("two_metrics", "count by (__name__) (last_over_time({__name__=~'events_.*|orders_.*'}[1d]))", f"""WITH {_G}, s AS (SELECT 'events_value' AS n, event_type || '/' || user_id AS k, (epoch_us(ts) // 1000) AS t FROM events UNION ALL SELECT 'orders_price', o_orderpriority || '/' || o_orderstatus, (epoch_us(o_orderdate) // 1000) FROM orders)
-    SELECT n AS __name__, ts, CAST(count(DISTINCT k) AS DOUBLE) AS v FROM g JOIN s ON t > ts - {DAY} AND t <= ts GROUP BY ALL""", ("__name__",), metrics=(fixtures.EVENTS, fixtures.ORDERS))
+# Ten metrics of hosts: five event types, by value and by the number in their properties.  The table has about a
+# sample a host, metric and two days, so windows of 6 h stand for the benchmark's minutes.
+_HOSTS = """sam AS (SELECT 'usage_' || event_type AS name, CAST(user_id AS VARCHAR) AS hostname, epoch_us(ts) // 1000 AS t, value AS v FROM events
+    UNION ALL SELECT 'depth_' || event_type, CAST(user_id AS VARCHAR), epoch_us(ts) // 1000, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS DOUBLE) FROM events)"""
+_CPU = (fixtures.USAGE, fixtures.DEPTH)
+_ONE_METRIC, _FIVE, _TEN = ("usage_click", "name = 'usage_click'"), ("usage_.*", "name LIKE 'usage_%'"), ("usage_.*|depth_.*", "true")
+_HOST, _EIGHT = ("1", "hostname = '1'"), ("[1-8]", "regexp_full_match(hostname, '[1-8]')")
+for _name, _metric, _who, _w in (
+    ("tsbs_single_groupby_1_1_1", _ONE_METRIC, _HOST, 6), ("tsbs_single_groupby_1_1_12", _ONE_METRIC, _HOST, 12), ("tsbs_single_groupby_1_8_1", _ONE_METRIC, _EIGHT, 6), ("tsbs_single_groupby_5_1_1", _FIVE, _HOST, 6),
+    ("tsbs_single_groupby_5_1_12", _FIVE, _HOST, 12), ("tsbs_single_groupby_5_8_1", _FIVE, _EIGHT, 6), ("tsbs_cpu_max_all_1", _TEN, _HOST, 8), ("tsbs_cpu_max_all_8", _TEN, _EIGHT, 8),
+):
+    _text = f'max by (__name__) (max_over_time({{__name__=~"{_metric[0]}",hostname=~"{_who[0]}"}}[{_w}h]))'
+    _sql = _win(_w * HOUR, 0, f"{_metric[1]} AND {_who[1]}", _HOSTS, "name, hostname") + " SELECT name AS __name__, ts, max(v) AS v FROM w GROUP BY ALL"
+    add(_name, _text, _sql, ("__name__",), metrics=_CPU[: 2 if _metric is _TEN else 1])
+for _name, _metric in (("tsbs_double_groupby_1", _ONE_METRIC), ("tsbs_double_groupby_5", _FIVE), ("tsbs_double_groupby_all", _TEN)):
+    _sql = _win(6 * HOUR, 0, _metric[1], _HOSTS, "name, hostname") + ", r AS (SELECT name AS __name__, hostname, ts, avg(v) AS v FROM w GROUP BY ALL) " + _rounded("__name__, hostname", 6)
+    add(_name, f'avg by (__name__, hostname) (avg_over_time({{__name__=~"{_metric[0]}"}}[6h]))', _sql, ("__name__", "hostname"), 6, metrics=_CPU[: 2 if _metric is _TEN else 1])
 
 
-def two_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def two_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series with a sample of either metric, by months from the first order to the last event."""
     both = (fixtures.EVENTS, fixtures.ORDERS)
     grid = whole(spark, sf_dir, *both, start=0, step=30 * DAY)
     return flat(engine(spark, sf_dir, *both).query_range("count by (__name__) (last_over_time({__name__=~'events_.*|orders_.*'}[30d]))", *grid, 30 * DAY), ("__name__",))
 
 
-QUERIES["two_metrics_whole"] = two_metrics_whole
-ORACLE_SQL["two_metrics_whole"] = ORACLE_SQL["two_metrics"].replace(_G, _whole(f"{_TIMES} UNION ALL SELECT epoch_us(o_orderdate) // 1000 FROM orders", 0, 30 * DAY)).replace(f"ts - {DAY} ", f"ts - {30 * DAY} ")
-
+QUERIES["two_metrics"] = two_metrics
+ORACLE_SQL["two_metrics"] = f"""WITH {_whole(f"{_TIMES} UNION ALL SELECT epoch_us(o_orderdate) // 1000 FROM orders", 0, 30 * DAY)}, s AS (SELECT 'events_value' AS n, event_type || '/' || user_id AS k, (epoch_us(ts) // 1000) AS t FROM events UNION ALL SELECT 'orders_price', o_orderpriority || '/' || o_orderstatus, (epoch_us(o_orderdate) // 1000) FROM orders)
+    SELECT n AS __name__, ts, CAST(count(DISTINCT k) AS DOUBLE) AS v FROM g JOIN s ON t > ts - {30 * DAY} AND t <= ts GROUP BY ALL"""
 
 # --- admission of arrivals: events by a scrambled order of their ids
 
@@ -339,23 +349,13 @@ def _stored(spark: SparkSession, sf_dir: str):
 
 
 def series_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series of two overlapping selectors with a sample in the first ten days."""
-    found = metadata.series(_stored(spark, sf_dir), ['{event_type="click"}', '{event_type=~"c.*|p.*"}'], START, START + 10 * DAY)
-    return found.select(*[label(F.col("label_key"), n).alias(n) for n in BOTH])
-
-
-QUERIES["series_list"] = series_list
-ORACLE_SQL["series_list"] = f"SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE regexp_full_match(event_type, 'c.*|p.*') AND epoch_us(ts) // 1000 BETWEEN {START} AND {START + 10 * DAY}"
-
-
-def series_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all times."""
+    """Series of two overlapping selectors with a sample between the first and the last time."""
     found = metadata.series(_stored(spark, sf_dir), ['{event_type="click"}', '{event_type=~"c.*|p.*"}'], *whole(spark, sf_dir, fixtures.EVENTS))
     return found.select(*[label(F.col("label_key"), n).alias(n) for n in BOTH])
 
 
-QUERIES["series_list_whole"] = series_list_whole
-ORACLE_SQL["series_list_whole"] = "SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE regexp_full_match(event_type, 'c.*|p.*')"
+QUERIES["series_list"] = series_list
+ORACLE_SQL["series_list"] = "SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE regexp_full_match(event_type, 'c.*|p.*')"
 QUERIES["label_names"] = lambda spark, sf_dir: metadata.label_names(_stored(spark, sf_dir))
 ORACLE_SQL["label_names"] = f"WITH {_PAIRS} SELECT DISTINCT k AS name FROM p"
 QUERIES["label_values"] = lambda spark, sf_dir: metadata.label_values(_stored(spark, sf_dir), "user_id", ['{event_type="click"}'])

@@ -21,17 +21,19 @@ class Metric:
     value: str
     labels: tuple[tuple[str, str], ...]
     order: str | None = None  # the first of samples of a series at one time counts, in this order
+    named: str | None = None  # a column whose values make metrics of their own: name_value
 
     def map(self) -> Column:
         pairs = [x for k, c in self.labels for x in (F.lit(k), F.col(c).cast("string"))]
-        return F.create_map(F.lit(NAME), F.lit(self.name), *pairs)
+        name = F.lit(self.name) if self.named is None else F.concat_ws("_", F.lit(self.name), F.col(self.named))
+        return F.create_map(F.lit(NAME), name, *pairs)
 
     def rows(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
 
     def series(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         """Distinct label columns first: labels are built and hashed once a series."""
-        return series_of(identified(self.rows(spark, sf_dir).select(*[c for _, c in self.labels]).distinct().select(self.map().alias("labels"))))
+        return series_of(identified(self.rows(spark, sf_dir).select(*[c for _, c in self.labels], *([self.named] if self.named else [])).distinct().select(self.map().alias("labels"))))
 
     def samples(self, spark: SparkSession, sf_dir: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
         """(sid, t, v); the range is also put on the stored column, where Parquet statistics can use it."""
@@ -40,12 +42,15 @@ class Metric:
         if lo is not None:
             near = [F.timestamp_millis(F.lit(x)).cast("timestamp_ntz") for x in (lo, hi + 1)]
             rows = rows.filter((F.col(self.time) >= near[0]) & (F.col(self.time) <= near[1])).filter(t.between(lo, hi))
-        out = rows.select(series_id(label_key(self.map())).alias("sid"), t.alias("t"), F.col(self.value).cast("double").alias("v"), *([F.col(self.order).alias("seq")] if self.order else []))
+        out = rows.select(series_id(label_key(self.map())).alias("sid"), t.alias("t"), F.expr(self.value).cast("double").alias("v"), *([F.col(self.order).alias("seq")] if self.order else []))
         return out.groupBy("sid", "t").agg(F.min_by("v", "seq").alias("v")) if self.order else out
 
 
 EVENTS = Metric("events_value", "events", "ts", "value", (("event_type", "event_type"), ("user_id", "user_id")))
 ORDERS = Metric("orders_price", "orders", "o_orderdate", "o_totalprice", (("priority", "o_orderpriority"), ("status", "o_orderstatus")), "o_orderkey")
+#: Ten metrics of hosts: five event types by value, five by the number in their properties.
+USAGE = Metric("usage", "events", "ts", "value", (("hostname", "user_id"),), named="event_type")
+DEPTH = Metric("depth", "events", "ts", "get_json_object(props, '$.k')", (("hostname", "user_id"),), named="event_type")
 
 
 def store(spark: SparkSession, sf_dir: str, *metrics: Metric, rollups: DataFrame | None = None) -> Store:

@@ -4,8 +4,8 @@
 ``batch``: each write replaces its own batch folder, so a repeated write of a batch
 (a retried stream) changes nothing.  ``compact`` rewrites a day's batches as one,
 sorted by series and time, and drops repeated times.  ``rollup_5m`` has five-minute
-buckets of compacted days.  Retention removes whole days, of each table on its own,
-so rollups may outlive raw samples.
+buckets of compacted days; those of other days are made when they are read.  Retention removes whole days, of each table on its own,
+so rollups may outlive raw samples.  ``recover`` removes what a crash left half made.
 
 All listing and removal goes through Spark's file system layer: the folder may be
 in any store that Spark can write.
@@ -15,11 +15,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import BadData, LimitExceeded, Unavailable
 from .model import SERIES, identified, series_of
-from .operators import rollup
+from .operators import admission, rollup
 from .plans.engine import Store
 
 DAY = 86_400_000
@@ -28,6 +30,30 @@ SAMPLES = "sid long, t long, v double, seq long, block long, batch long"
 ROLLUPS = "sid long, e long, mn double, mx double, sm double, cnt long, la double, block long"
 
 
+@dataclass(frozen=True)
+class Written:
+    """How many samples of a write were stored, and how many refused, by reason."""
+
+    ok: int = 0
+    late: int = 0
+    duplicate: int = 0
+    too_old: int = 0
+    cardinality: int = 0
+
+    @property
+    def status(self) -> int:
+        """The code a front end answers: 422 beyond the series limit, else 400 for too old samples, else 204."""
+        return LimitExceeded.status if self.cardinality else BadData.status if self.too_old else 204
+
+    def check(self) -> Written:
+        """Itself, or the typed error of its status; accepted samples are stored all the same."""
+        if self.cardinality:
+            raise LimitExceeded(f"{self.cardinality} samples are of series beyond the limit")
+        if self.too_old:
+            raise BadData(f"{self.too_old} samples are too old")
+        return self
+
+
 @dataclass
 class Storage:
     spark: SparkSession
@@ -79,7 +105,7 @@ class Storage:
         return rows.groupBy("sid", "t").agg(F.min_by("v", F.struct("batch", "seq")).alias("v"))
 
     def store(self) -> Store:
-        return Store(self.series(), self.scan, self._read("rollup_5m", ROLLUPS) if self._exists("rollup_5m") else None)
+        return Store(self.series(), self.scan, self.rollups())
 
     def append(self, rows: DataFrame, batch: int) -> None:
         """Store (labels, t, v, seq) rows; writing the same batch again replaces it."""
@@ -91,33 +117,81 @@ class Storage:
         new = series_of(known).join(self.series().select("sid"), "sid", "left_anti") if self._exists("series") else series_of(known)
         self._overwrite(new.withColumn("batch", F.lit(batch).cast("long")), "series", ["batch"])
 
+    def write(self, rows: DataFrame, batch: int, window: int = 600_000, min_valid: int | None = None, most_series: int | None = None) -> Written:
+        """Judge (labels, t, v, seq) rows against what is stored, store those admitted, and count both.
+
+        One batch at a time: two writers would not see each other's newest times.
+        """
+        known = identified(rows)
+        refused = known.limit(0)
+        stored = self._read("samples", SAMPLES).filter(F.col("batch") != batch).select("sid", "t")
+        if most_series is not None:
+            known, refused = admission.limit_series(known, self.series().select("sid"), most_series)
+        judged = admission.classify(known, window, min_valid, stored=stored).select("labels", "t", "v", "seq", "verdict").persist()
+        try:
+            counts = {r["verdict"]: r["n"] for r in admission.counters(judged).collect()}
+            out = Written(**counts, cardinality=refused.count() if most_series is not None else 0)
+            self.append(judged.filter(F.col("verdict").isin(*admission.ADMITTED)).drop("verdict"), batch)
+            return out
+        except Py4JJavaError as e:
+            raise Unavailable(f"the batch was not stored: {e.java_exception.getMessage()}") from e
+        finally:
+            judged.unpersist()
+
+    def recover(self) -> None:
+        """Remove what a crash left: half-made compactions and uncommitted files. Stored batches stay."""
+        self._remove("making")
+        for table in ("samples", "series", "rollup_5m"):
+            if self._exists(table):
+                fs, path = self._fs()
+                for s in fs.listStatus(path(self._at(table))):
+                    if s.getPath().getName().startswith((".spark-staging", "_temporary")):
+                        fs.delete(s.getPath(), True)
+
     def _overwrite(self, rows: DataFrame, table: str, by: list[str]) -> None:
         rows.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(self._at(table))
 
-    def compact(self, block: int, files: int = 8) -> None:
-        """One sorted batch of a day in place of all, and the day's rollups.
+    def compact(self, *blocks: int, files: int = 8) -> None:
+        """One sorted batch of each day in place of all, and the days' rollups; without blocks, every day of several batches.
 
         The new batch is written before the old ones go; a reader in between sees equal
         rows twice, which reading drops.
         """
-        day = self._read("samples", SAMPLES).filter(F.col("block") == block)
-        first = day.groupBy("sid", "t").agg(F.min_by(F.struct("v", "seq"), F.struct("batch", "seq")).alias("x"))
-        whole = first.select("sid", "t", "x.v", "x.seq", F.lit(block).cast("long").alias("block"), F.lit(COMPACTED).cast("long").alias("batch"))
-        old = [b for b in self._folders("samples", f"block={block}") if b != COMPACTED]
-        if not old:
+        old = {day: [b for b in self._folders("samples", f"block={day}") if b != COMPACTED] for day in blocks or self.blocks()}
+        days = sorted(day for day, batches in old.items() if batches)
+        if not days:
             return
+        rows = self._read("samples", SAMPLES).filter(F.col("block").isin(days))
+        first = rows.groupBy("block", "sid", "t").agg(F.min_by(F.struct("v", "seq"), F.struct("batch", "seq")).alias("x"))
+        whole = first.select("sid", "t", "x.v", "x.seq", "block", F.lit(COMPACTED).cast("long").alias("batch"))
         # the old compacted batch is among what is read: the new one is made elsewhere first
-        made = self._at("making", str(block))
-        whole.repartitionByRange(files, "sid").sortWithinPartitions("sid", "t").write.mode("overwrite").option("compression", "zstd").parquet(made)
+        made = self._at("making", str(days[0]))
+        whole.repartitionByRange(files, "block", "sid").sortWithinPartitions("block", "sid", "t").write.mode("overwrite").option("compression", "zstd").parquet(made)
         ready = self.spark.read.schema(SAMPLES).parquet(made)
         self._overwrite(ready, "samples", ["block", "batch"])
-        for batch in old:
-            self._remove("samples", f"block={block}", f"batch={batch}")
-        # a bucket belongs to the day of its end; the day's first bucket may end at its start and lie in the day before
-        near = self.scan(block - rollup.RESOLUTION + 1, block + self.block - 1)
-        rolled = rollup.build(near).filter(F.col("e").between(block, block + self.block - 1)).withColumn("block", F.lit(block).cast("long"))
-        self._overwrite(rolled.coalesce(files), "rollup_5m", ["block"])
-        self._remove("making", str(block))
+        for day in days:
+            for batch in old[day]:
+                self._remove("samples", f"block={day}", f"batch={batch}")
+        self._overwrite(self._rolled(days).repartition(files, "block"), "rollup_5m", ["block"])
+        self._remove("making")
+
+    def _ends(self, days: list[int]) -> list[int]:
+        """Days that hold the ends of the buckets of these days' samples: the last bucket ends where the next day starts."""
+        return sorted({d for day in days for d in (day, day + self.block)})
+
+    def _rolled(self, days: list[int]) -> DataFrame:
+        """Buckets that end in the days of ``_ends``, from raw samples."""
+        ends = self._ends(days)
+        near = self.scan(ends[0] - rollup.RESOLUTION + 1, ends[-1] + self.block - 1)
+        return rollup.build(near).withColumn("block", F.col("e") - F.pmod("e", F.lit(self.block))).filter(F.col("block").isin(ends))
+
+    def rollups(self) -> DataFrame | None:
+        """Stored buckets, and those of days that are not compacted from their raw samples; None before any compaction."""
+        if not self._exists("rollup_5m"):
+            return None
+        stored = self._read("rollup_5m", ROLLUPS)
+        open_ = [day for day in self.blocks() if self._folders("samples", f"block={day}") != [COMPACTED]]
+        return stored.filter(~F.col("block").isin(self._ends(open_))).unionByName(self._rolled(open_)) if open_ else stored
 
     def retain(self, now: int, raw: int, rolled: int | None = None) -> None:
         """Remove days that ended before now - raw (samples) and now - rolled (rollups; default as raw)."""
@@ -127,5 +201,10 @@ class Storage:
                     self._remove(table, f"block={block}")
 
     def stats(self) -> DataFrame:
-        """(block, series, samples, first, last) of each day."""
-        return self._read("samples", SAMPLES).groupBy("block").agg(F.approx_count_distinct("sid").alias("series"), F.count("*").alias("samples"), F.min("t").alias("first"), F.max("t").alias("last"))
+        """(block, series, samples, first, last, files, bytes) of each day."""
+        rows = self._read("samples", SAMPLES)
+        out = rows.groupBy("block").agg(F.approx_count_distinct("sid").alias("series"), F.count("*").alias("samples"), F.min("t").alias("first"), F.max("t").alias("last"))
+        if not self._exists("samples"):
+            return out.select("*", F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("bytes"))
+        files = rows.select("block", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size")).distinct()
+        return out.join(files.groupBy("block").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")), "block")
