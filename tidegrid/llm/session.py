@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import remove, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset (tests, one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+_MADE: list[str] = []
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     out = df.write.option("compression", "zstd")
     if partition_by:
         out = out.partitionBy(*partition_by)
@@ -28,6 +23,20 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables were written so far; a mark for ``forget``."""
+    return len(_MADE)
+
+
+def forget(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since the mark, once nothing reads them any more; those that keep reads stay."""
+    kept = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
+    for path in _MADE[since:]:
+        if not any(path.rsplit("/", 1)[1] in k for k in kept):
+            remove(spark, path)
+    _MADE[since:] = [p for p in _MADE[since:] if any(p.rsplit("/", 1)[1] in k for k in kept)]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows: texts may be long, and a batch is held whole by a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
