@@ -53,3 +53,11 @@ def test_spans_are_the_removed_words(frame, prose):
     r = substring.remove_repeats(frame([(1, prose(2, 30)), (2, "new words " + prose(2, 30) + " end")])).filter("doc_id = 2").first()
     assert [(s["first"], s["words"]) for s in r.spans] == [(2, 30)]
     assert r.kept == "new words end"
+
+
+def test_clashing_columns_branches_and_periods(spark, prose):
+    a, b, c, d = (prose(k, 40, 4000) for k in (21, 22, 23, 24))
+    rows = [(1, f"{a} {b} {c}"), (2, f"{d} {b} {a}"), (3, f"{a} {b} {d}"), (4, b), (5, f"{b[20:]} {c}"), (6, "la " * 50 + b), (7, "la " * 70), (8, f"{a} {b} {c}")]
+    df = spark.createDataFrame([(i, t, i, b"x", 1) for i, t in rows], "doc_id long, text string, block long, packed binary, n int").repartition(5)
+    assert got(substring.remove_repeats(df)) == brute(rows)
+    assert {r[0] for r in brute(rows) if r[2]} == {2, 3, 4, 5, 6, 7, 8}

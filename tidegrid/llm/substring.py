@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .session import written
 from .textarrays import Chunk, Words, chunks, mix, shingle_hashes, within, word_hashes, words
 
 WINDOW = 13
@@ -291,7 +292,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     replies = merged(texts.groupBy("block").applyInArrow(told(MINIMIZERS), blocks.ASKED), lambda g, _: _counts(g) > 1, None)
     replies = replies.unionByName(merged(cogrouped(replies, told(EDGES), blocks.ASKED), lambda g, own: (_counts(g) > 1) | (np.bincount(g, weights=own) > 0), "u1"))
     replies = replies.unionByName(merged(cogrouped(replies, told(NODES), blocks.ASKED), _plain, "<u8"))
-    paths = cogrouped(replies, find_paths, PATHS)
+    paths = written(cogrouped(replies, find_paths, PATHS), "paths")  # read twice
     key = ["first", "last", "n", "digest"]
     source = paths.groupBy(*key).agg(F.min("doc").alias("least"), F.count("*").alias("blocks")).filter("blocks > 1").drop("blocks")
     earlier = paths.select(*key, "block", "doc").join(source, key).filter("least < doc").select("block", "first", "last", "n", "least")
