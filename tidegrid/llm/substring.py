@@ -14,8 +14,8 @@ windows.  An edge matters if it occurs in two documents.
    out, or at which a run begins or ends.
 4. Runs are cut at branching nodes into nonbranching paths.  By construction each
    occurrence of one edge of a path lies in an occurrence of the whole path, so a
-   path is one row a block, however long: its ends, its length, and the source
-   coordinates (document, first word) of its least document in the block.
+   path is one row a block, however long: its ends, its length, its least document
+   in the block and a digest of the words at its source coordinates there.
 5. A join brings together a path's rows of all blocks.  They are verified by the
    words at their source coordinates (SHA-256), so hashes alone remove nothing.  A
    path's words leave every document but the least that has it.
@@ -38,7 +38,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .session import written
 from .textarrays import Chunk, Words, chunks, mix, shingle_hashes, within, word_hashes, words
 
 WINDOW = 13
@@ -183,15 +182,13 @@ class Block:
             out.append(made)
         return np.concatenate(out) if out else np.zeros(0, PATH)
 
-    def span(self, path: np.void) -> tuple[int, int, int]:
-        """(first word in its chunk, words, first word in its document)."""
-        p = self.parts[path["part"]]
-        first = int(p.pos[path["at"]])
-        return first, int(path["n"]) + WINDOW - 1, first - int(p.words.docs[int(path["row"]) - p.chunk.first])
+    def span(self, path: np.void) -> tuple[int, int]:
+        """A path's source coordinates: its first word in its chunk, and its words."""
+        return int(self.parts[path["part"]].pos[path["at"]]), int(path["n"]) + WINDOW - 1
 
 
 PATH = np.dtype([("part", "i4"), ("at", "i8"), ("n", "i8"), ("first", "u8"), ("last", "u8"), ("row", "i8")])
-PATHS = "first long, last long, n long, digest binary, block long, doc long, word long"
+PATHS = "first long, last long, n long, digest binary, block long, doc long"
 SPANS = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<first:long,words:long>>"
 
 
@@ -253,11 +250,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             paths = b.paths(replies)
             for i in _classes(b, paths)[0].tolist():
                 path = paths[i]
-                first, length, word = b.span(path)
+                first, length = b.span(path)
                 p = b.parts[path["part"]]
                 text = p.chunk.data[int(p.words.start[first]) : int(p.words.end[first + length - 1])].tobytes()
-                rows.append((path["first"].view(np.int64), path["last"].view(np.int64), path["n"], hashlib.sha256(b" ".join(text.split())).digest(), number, b.ids[path["row"]], word))
-        kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
+                rows.append((path["first"].view(np.int64), path["last"].view(np.int64), path["n"], hashlib.sha256(b" ".join(text.split())).digest(), number, b.ids[path["row"]]))
+        kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 2
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in PATHS.split(", ")])
 
     def clean(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -292,10 +289,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     replies = merged(texts.groupBy("block").applyInArrow(told(MINIMIZERS), blocks.ASKED), lambda g, _: _counts(g) > 1, None)
     replies = replies.unionByName(merged(cogrouped(replies, told(EDGES), blocks.ASKED), lambda g, own: (_counts(g) > 1) | (np.bincount(g, weights=own) > 0), "u1"))
     replies = replies.unionByName(merged(cogrouped(replies, told(NODES), blocks.ASKED), _plain, "<u8"))
-    paths = written(cogrouped(replies, find_paths, PATHS), "paths")  # read twice
     key = ["first", "last", "n", "digest"]
-    source = paths.groupBy(*key).agg(F.min("doc").alias("least"), F.count("*").alias("blocks")).filter("blocks > 1").drop("blocks")
-    earlier = paths.select(*key, "block", "doc").join(source, key).filter("least < doc").select("block", "first", "last", "n", "least")
+    # dealt once for the aggregate and the join: both read the same columns, and the last filter
+    # (never null) gives the optimizer no reason to filter one side alone
+    paths = cogrouped(replies, find_paths, PATHS).repartition(*key)
+    source = paths.groupBy(*key).agg(F.min("doc").alias("least"), F.count("block").alias("blocks")).filter("blocks > 1").drop("blocks")
+    earlier = paths.join(source, key).filter(F.coalesce(F.col("least") < F.col("doc"), F.lit(False))).select("block", "first", "last", "n", "least")
     return cogrouped(replies.unionByName(earlier, allowMissingColumns=True), clean, SPANS)
 
 
