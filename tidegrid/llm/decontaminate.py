@@ -1,44 +1,54 @@
 """Benchmark decontamination by greedy string tiling (operator 8).
 
 Tokens are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII
-bytes.  Documents and benchmark items that share a seed of five tokens are
-joined; for each such pair the longest common run is tiled first, then the next
-longest over tokens not yet covered, and so on while runs of five remain (found
-by rolling hashes, as Karp and Rabin do).  The share of an item's tokens under
-tiles is its coverage; since tiles may lie anywhere, reordered passages count.
-A document is contaminated if an item reaches ``COVERAGE``.
-
-A benchmark of at most ``LIMIT`` bytes is sent to every worker after its size has
-been measured.  A larger one takes the shuffle: seeds of documents meet seeds of
-items in a join, and only candidate pairs meet their texts.
+bytes.  A seed is five neighbouring tokens.
+
+1. A bit table of fixed size says which seeds may be in the benchmark.  One pass over
+   the documents keeps each row's seeds that pass, and its text if there are any.
+2. Seeds meet in a join.  An item that is covered to ``COVERAGE`` shares seeds that
+   cover as many tokens, so an item is posted only under its rarest seeds: the
+   commonest ones are left out as long as they could not cover enough by themselves.
+   For each pair found, the tokens that all shared seeds cover are summed, and pairs
+   that cannot reach the threshold go.  Both bounds are exact; no text is moved yet.
+3. The rest is tiled: the longest common run of tokens not yet covered is marked, and
+   so on while runs of five remain.  Each round runs Karp-Rabin hashes of one search
+   length over both texts; the length is found by bisection and only ever shrinks.
+
+The share of an item's tokens under tiles is its coverage; since tiles may lie
+anywhere, reordered passages count.  A document is contaminated if an item reaches
+``COVERAGE``.  The path is the same for a benchmark of any size.
 
 Cases: null or empty texts and items with fewer than five tokens never match; an
-empty benchmark leaves all clean; of items with equal coverage the least id is
-reported; repeated rows are judged each; other columns are ignored.
+empty benchmark leaves all clean; items without an id are left out, those with equal
+ids count each; of items with equal coverage the least id is reported; coverage is 0
+and no item is named where none reaches the threshold; repeated rows are judged each;
+a very long text is tiled whole, in memory linear in its length; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textarrays import Chunk, chunks, shingle_hashes, within, word_hashes, words
+from .session import written
+from .textarrays import Chunk, chunks, mix, shingle_hashes, word_hashes, words
 
 SEED = 5
 COVERAGE = 0.6
-LIMIT = 16 << 20
+#: Bits of the table of seeds, whatever the benchmark's size: 8 MB.
+BITS = 26
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-
-JUDGED = "doc_id long, n_tokens long, n_items long, item_id long, coverage double, contaminated boolean"
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
 def token_chunks(column: pa.Array) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
@@ -49,145 +59,167 @@ def token_chunks(column: pa.Array) -> Iterator[tuple[Chunk, np.ndarray, np.ndarr
         yield c, word_hashes(c, w), w.docs
 
 
-def tile(item: np.ndarray, doc: np.ndarray, at: np.ndarray | None = None, k: int = SEED) -> np.ndarray:
-    """Which tokens of item lie under tiles of doc; at: places of doc where a seed may start (default all)."""
-    marked = np.zeros(len(item), bool)
-    seeds, spots = shingle_hashes(item, k), shingle_hashes(doc, k)
-    if not len(seeds) or not len(spots):
-        return marked
-    at = np.arange(len(spots)) if at is None else at
-    order = np.argsort(seeds, kind="stable")
-    lo = np.searchsorted(seeds[order], spots[at], "left")
-    n = np.searchsorted(seeds[order], spots[at], "right") - lo
-    i = order[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-    j = np.repeat(at, n)
-    o = np.lexsort((i, j - i))
-    i, j = i[o], j[o]
-    if not len(i):
-        return marked
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)]))
-    runs = np.diff(np.append(cut, len(i))) + k - 1
-    heap = [(-int(length), int(i[c]), int(j[c])) for length, c in zip(runs, cut, strict=True)]
-    heapq.heapify(heap)
-    used = np.zeros(len(doc), bool)
-    while heap:
-        length, a, b = heapq.heappop(heap)
-        taken = marked[a : a - length] | used[b : b - length]
-        if not taken.any():
-            marked[a : a - length] = True
-            used[b : b - length] = True
-            continue
-        free = np.diff(np.concatenate([[0], (~taken).view(np.int8), [0]]))
-        for s, e in zip(np.flatnonzero(free == 1).tolist(), np.flatnonzero(free == -1).tolist(), strict=True):
-            if e - s >= k:
-                heapq.heappush(heap, (s - e, a + s, b + s))
-    return marked
-
-
-class Benchmark:
-    """Items as token hashes, and the sorted seeds of all of them."""
-
-    def __init__(self, rows: list[tuple[int, str | None]]):
-        self.ids, self.items = [], []
-        for ident, text in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
-            for _, h, _ in token_chunks(pa.array([text], pa.string())):
-                if len(h) >= SEED:
-                    self.ids.append(ident)
-                    self.items.append(h)
-        seeds = [shingle_hashes(h, SEED) for h in self.items]
-        flat = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        of = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        order = np.argsort(flat, kind="stable")
-        self.seeds, self.of = flat[order], of[order]
-        self.place = np.concatenate([np.arange(len(s)) for s in seeds])[order] if seeds else of
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(flat & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def judge(self, doc: np.ndarray, at: np.ndarray, spots: np.ndarray) -> tuple[int, int | None, float]:
-        """(items at the threshold, the best item, its coverage) of a document whose seeds at ``at`` may match."""
-        lo, hi = np.searchsorted(self.seeds, spots, "left"), np.searchsorted(self.seeds, spots, "right")
-        hit = hi > lo
-        at, lo, n = at[hit], lo[hit], (hi - lo)[hit]
-        flat = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        owner, place, j = self.of[flat], self.place[flat], np.repeat(at, n)
-        found, best, most = 0, None, 0.0
-        for x in np.unique(owner).tolist():
-            mine = owner == x
-            item = self.items[x]
-            covered = np.zeros(len(item) + 1, np.int32)
-            np.add.at(covered, place[mine], 1)
-            np.add.at(covered, np.minimum(place[mine] + SEED, len(item)), -1)
-            if (np.cumsum(covered)[:-1] > 0).sum() <= most * len(item) and most < COVERAGE:
-                continue  # tiles cover no more than seeds do
-            share = float(tile(item, doc, np.unique(j[mine])).mean())
-            found += share >= COVERAGE
-            if share > most:
-                best, most = self.ids[x], share
-        return found, best, most
-
-    def judge_column(self, column: pa.Array) -> list[tuple]:
-        rows: list[tuple] = []
-        for c, h, off in token_chunks(column):
-            s = shingle_hashes(h, SEED)
-            ok = within(off, SEED, len(s)) & self.maybe[(s & np.uint64((1 << 20) - 1)).astype(np.int64)] if len(s) else np.zeros(0, bool)
-            at = np.flatnonzero(ok)
-            cut = np.searchsorted(at, off)
-            for i in range(c.n_docs):
-                a, b = int(off[i]), int(off[i + 1])
-                mine = at[cut[i] : cut[i + 1]]
-                found, best, share = self.judge(h[a:b], mine - a, s[mine]) if len(mine) else (0, None, 0.0)
-                rows.append((b - a, found, best, share, found > 0))
-        return rows
-
-
-def _table(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-    return pa.record_batch([ids.cast(pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[x.split()[0] for x in JUDGED.split(", ")])
-
-
-def judge(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_tokens, n_items, item_id, coverage, contaminated) of every row."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("item"))
-    size, n = items.agg(F.sum(F.octet_length("item") + 16), F.count("*")).first()
-    if (size or 0) + 16 * n > limit:
-        return _judge_joined(docs, items)
-    held = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
-    store: dict[str, Benchmark] = {}
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+class Rolling:
+    """Karp-Rabin hashes of all windows of any length, from one running sum, and the tokens marked so far."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.n = len(tokens)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(tokens * _powers(_BASE, self.n), out=self.sums[1:])
+        self.back = _powers(_BACK, self.n + 1)
+        self.marked = np.zeros(self.n, bool)
+        self.count = np.zeros(self.n + 1, np.int64)
+
+    def mark(self, at: int, length: int) -> None:
+        self.marked[at : at + length] = True
+
+    def settle(self) -> None:
+        np.cumsum(self.marked, out=self.count[1:])
+
+    def free(self, starts: np.ndarray, s: int) -> np.ndarray:
+        """Those starts whose window of s tokens is inside and unmarked."""
+        starts = starts[starts <= self.n - s]
+        return starts[self.count[starts + s] == self.count[starts]]
+
+    def hashes(self, starts: np.ndarray, s: int) -> np.ndarray:
+        return mix((self.sums[starts + s] - self.sums[starts]) * self.back[starts])
+
+
+def tile(item: np.ndarray, doc: np.ndarray, k: int = SEED) -> np.ndarray:
+    """Which tokens of item lie under tiles of doc.
+
+    Of longest matches the one first in doc is marked, at its first free place in item.
+    """
+    a, b = Rolling(item), Rolling(doc)
+    spots, starts = np.arange(max(0, a.n - k + 1)), np.arange(max(0, b.n - k + 1))
+    s = min(a.n, b.n)
+
+    def matches(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(free windows of doc that item has, their hashes, free windows of item by hash, these hashes)."""
+        i, j = a.free(spots, length), b.free(starts, length)
+        hi, hj = a.hashes(i, length), b.hashes(j, length)
+        order = np.argsort(hi, kind="stable")
+        i, hi = i[order], hi[order]
+        hit = np.zeros(len(j), bool)
+        if len(hi):
+            hit = hi[np.minimum(np.searchsorted(hi, hj), len(hi) - 1)] == hj
+        return j[hit], hj[hit], i, hi
+
+    starts = matches(k)[0] if s >= k else starts[:0]  # a longer match starts at a seed
+    while len(starts) and s >= k:
+        low, high = k - 1, s  # the longest match is in low..high: if s tokens match, fewer do
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(matches(middle)[0]) else (low, middle - 1)
+        s = low
+        if s < k:
+            break
+        j, hj, i, hi = matches(s)
+        done = 0
+        for at, lo, hi_ in zip(j.tolist(), np.searchsorted(hi, hj, "left").tolist(), np.searchsorted(hi, hj, "right").tolist(), strict=True):
+            if at < done:
+                continue
+            for place in i[lo:hi_].tolist():
+                if not a.marked[place : place + s].any():
+                    a.mark(place, s)
+                    b.mark(at, s)
+                    done = at + s
+                    break
+        a.settle()
+        b.settle()
+        starts = matches(k)[0]
+    return a.marked
+
+
+def needed(n: int) -> int:
+    """The least number of tokens of n that is a share of ``COVERAGE``."""
+    m = int(n * COVERAGE)
+    while m / n < COVERAGE:
+        m += 1
+    return m
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(irow, item_id, item, need, seeds, gains) of items with a seed: distinct seeds and the tokens that each covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "b" not in store:
-            store["b"] = Benchmark(held.value)
-        for b in batches:
-            if b.num_rows:
-                yield _table(b.column(0), store["b"].judge_column(b.column(1)))
-
-    return docs.mapInArrow(run, JUDGED)
-
-
-def seeds_of(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, seed): the distinct seed hashes of each row's text."""
+        for batch in batches:
+            rows: list[tuple] = []
+            for c, h, off in token_chunks(batch.column(2)) if batch.num_rows else ():
+                s = shingle_hashes(h, SEED)
+                for r in range(c.n_docs):
+                    lo, hi = int(off[r]), int(off[r + 1])
+                    if hi - lo < SEED:
+                        continue
+                    own = s[lo : hi - SEED + 1]
+                    order = np.argsort(own, kind="stable")
+                    k = own[order]
+                    same = k[1:] == k[:-1]
+                    gain = np.full(len(k), SEED)
+                    gain[1:][same] = np.minimum(SEED, np.diff(order)[same])  # occurrences may overlap
+                    at = np.flatnonzero(np.concatenate([[True], ~same]))
+                    i = c.first + r
+                    rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), needed(hi - lo), k[at].view(np.int64).tolist(), np.add.reduceat(gain, at).tolist()))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["irow", "item_id", "item", "need", "seeds", "gains"])
+
+    known = benchmark.select(F.monotonically_increasing_id().alias("irow"), F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("item")).filter("item_id is not null and item is not null")
+    return written(known.mapInArrow(run, "irow long, item_id long, item string, need long, seeds array<long>, gains array<long>"), "items")
+
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, doc_id, n_tokens, seeds, text) of every document; seeds: those that the benchmark may have, text: if there are any."""
+    seed = F.explode("seeds").alias("seed")
+    word = F.shiftrightunsigned("seed", 6).bitwiseAND((1 << (BITS - 6)) - 1)
+    table = items.select(seed).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits"))
+    maybe = np.zeros(1 << (BITS - 6), np.uint64)
+    for r in table.collect():  # at most the words of the bit table, whatever the benchmark's size
+        maybe[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    held = docs.sparkSession.sparkContext.broadcast(maybe)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c, h, off in token_chunks(b.column(1)) if b.num_rows else ():
+        for batch in batches:
+            sizes: list[int] = []
+            seeds: list[np.ndarray] = []
+            for c, h, off in token_chunks(batch.column(2)) if batch.num_rows else ():
                 s = shingle_hashes(h, SEED)
-                for i in range(c.n_docs):
-                    u = np.unique(s[int(off[i]) : max(int(off[i]), int(off[i + 1]) - SEED + 1)])
-                    if len(u):
-                        yield pa.record_batch([pa.array([b.column(0)[c.first + i].as_py()] * len(u), pa.int64()), pa.array(u.view(np.int64))], names=[key, "seed"])
-
-    return df.select(key, text_col).mapInArrow(run, f"{key} long, seed long")
-
-
-def _judge_joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: rows of documents are told apart by a number of their own."""
-    from .session import written
-
-    docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
-    shared = seeds_of(docs, "row", "text").join(seeds_of(items, "item_id", "item"), "seed").select("row", "item_id").distinct()
-    pairs = shared.join(items, "item_id").join(docs.select("row", "text"), "row").select("row", "item_id", "item", "text")
+                hit = (held.value[((s >> np.uint64(6)) & np.uint64((1 << (BITS - 6)) - 1)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)
+                at = np.flatnonzero(hit)
+                lo, hi = np.searchsorted(at, off[:-1]), np.searchsorted(at, np.maximum(off[:-1], off[1:] - SEED + 1))
+                sizes += np.diff(off).tolist()
+                seeds += [np.unique(s[at[x:y]]).view(np.int64) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            lists = pa.array(seeds, pa.list_(pa.int64()))
+            text = pa.compute.if_else(pa.array([len(x) > 0 for x in seeds], pa.bool_()), batch.column(2), pa.scalar(None, pa.string()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), lists, text], names=["row", "doc_id", "n_tokens", "seeds", "text"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return written(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, seeds array<long>, text string"), "seeded")
+
+
+def candidates(found: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, irow): pairs whose shared seeds cover enough of the item. Seeds are joined under exact bounds, texts are not read."""
+    shared = found.select("row", F.explode("seeds").alias("seed"))
+    owned = items.select("irow", "need", F.explode(F.arrays_zip("seeds", "gains")).alias("z")).select("irow", "need", F.col("z.seeds").alias("seed"), F.col("z.gains").alias("gain"))
+    counted = owned.join(shared.groupBy("seed").agg(F.count("*").alias("df")), "seed")
+    # from the commonest on, seeds that together cover less than needed may be left out
+    commonest = Window.partitionBy("irow").orderBy(F.desc("df"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    posted = counted.withColumn("sum", F.sum("gain").over(commonest)).filter("sum >= need").select("seed", "irow")
+    met = shared.join(posted, "seed").select("row", "irow").distinct()
+    return met.join(owned, "irow").join(shared, ["row", "seed"]).groupBy("row", "irow").agg(F.sum("gain").alias("sum"), F.first("need").alias("need")).filter("sum >= need").select("row", "irow")
+
+
+def judge(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_items, item_id, coverage, contaminated) of every row."""
+    items = _items(benchmark, item_col, item_text)
+    found = _found(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), items)
+    pairs = candidates(found, items).join(items.select("irow", "item_id", "item"), "irow").join(found.select("row", "text"), "row").select("row", "item_id", "item", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,15 +230,7 @@ def _judge_joined(docs: DataFrame, items: DataFrame) -> DataFrame:
                 share.append(float(tile(x, y).mean()))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(share, pa.float64())], names=["row", "item_id", "coverage"])
 
-    best = pairs.mapInArrow(run, "row long, item_id long, coverage double").groupBy("row").agg(
-        F.count_if(F.col("coverage") >= COVERAGE).alias("n_items"), F.max(F.struct("coverage", (-F.col("item_id")).alias("i"))).alias("x")
-    )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [int(x) for _, _, off in token_chunks(b.column(2)) for x in np.diff(off)] if b.num_rows else []
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["row", "doc_id", "n_tokens"])
-
-    sizes = docs.select("row", "doc_id", "text").mapInArrow(count, "row long, doc_id long, n_tokens long")
-    share = F.coalesce("x.coverage", F.lit(0.0))
-    return sizes.join(best, "row", "left").select("doc_id", "n_tokens", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.when(share > 0, -F.col("x.i")).alias("item_id"), share.alias("coverage"), (share >= COVERAGE).alias("contaminated"))
+    tiled = pairs.mapInArrow(run, "row long, item_id long, coverage double").filter(F.col("coverage") >= COVERAGE)
+    best = tiled.groupBy("row").agg(F.count("*").alias("n"), F.max(F.struct("coverage", (-F.col("item_id")).alias("i"))).alias("x"))
+    out = found.select("row", "doc_id", "n_tokens").join(best, "row", "left")
+    return out.select("doc_id", "n_tokens", F.coalesce("n", F.lit(0)).alias("n_items"), (-F.col("x.i")).alias("item_id"), F.coalesce("x.coverage", F.lit(0.0)).alias("coverage"), F.col("n").isNotNull().alias("contaminated"))
