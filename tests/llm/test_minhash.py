@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 import re
 
-from tidegrid.llm import minhash
+from tidegrid.llm import minhash, queries
 from tidegrid.llm.components import components
 
+from .conftest import SMALL
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -71,12 +73,47 @@ def test_a_large_group_of_near_copies(frame, prose):
 
 
 def test_threshold_is_on_full_sets(frame):
-    words = [f"t{i}" for i in range(104)]  # 100 shingles
-    for cut, linked in ((15, True), (16, False)):
-        other = words[: 104 - cut]
-        rows = [(1, " ".join(words)), (2, " ".join(other))]
-        assert len(shingles(rows[1][1])) == 100 - cut
-        assert (brute(rows)[1][2] == 1) == linked
+    rows = []
+    for k in range(40):  # 100 shingles each, and a part of them: at 0.85 linked, at 0.84 not
+        words = [f"t{k}x{i}" for i in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 104 - (15 if k % 2 else 16)]))]
+    out = got(minhash.near_duplicates(frame(rows)))
+    assert out == brute(rows)
+    assert [r[2] == r[0] - 1 for r in out if r[0] % 2] == [bool(k % 2) for k in range(40)]
+
+
+def test_long_lists_of_members_out_of_reach(frame, prose, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 64)
+    r, common, rows = random.Random(12), prose(3, 60, 5000), []
+    for k in range(900):
+        rows.append((k, f"{common} {prose(5000 + k, 40, 9000)}"))
+    for k in range(60):  # links inside the long lists
+        rows.append((2000 + k, varied(rows[13 * k][1], r, 1 + k % 4)))
+    assert got(minhash.near_duplicates(frame(rows))) == brute(rows)
+
+
+def test_query_against_brute_force(spark, documents):
+    assert got(queries.op6_minhash(spark, SMALL)) == brute([(d["doc_id"], d["text"]) for d in documents])
+
+
+def test_clashing_columns_and_long_texts(spark, prose):
+    long = prose(6, 40_000, 9000)
+    rows = [(1, long), (2, varied(long, random.Random(3), 300)), (3, prose(7, 40_000, 9000)), (4, long)]
+    df = spark.createDataFrame([(i, t, i, "x", 1) for i, t in rows], "doc_id long, text string, node long, component string, n int")
+    assert got(minhash.near_duplicates(df)) == brute(rows)
+
+
+def test_recall_just_above_the_threshold(frame, prose):
+    """300 pairs of similarity 0.85 to 0.87: what the signatures miss is at most one."""
+    r, rows = random.Random(21), []
+    while len(rows) < 600:
+        text = prose(7000 + len(rows), 120, 20_000)
+        other = varied(text, r, 2)
+        a, b = shingles(text), shingles(other)
+        if 0.85 <= len(a & b) / len(a | b) < 0.88:
+            rows += [(len(rows), text), (len(rows) + 1, other)]
+    linked = sum(c != d for d, _, c, _ in got(minhash.near_duplicates(frame(rows))))
+    assert linked >= 299
 
 
 def test_short_null_and_repeated_rows(frame):

@@ -13,19 +13,19 @@
    components pair the members outside the list's largest component with all
    members of other components.  Pairs inside one component need no further test.
    Before that, members that nobody can be linked with are skipped: a linked class
-   shares 85 % of its shingles, so one whose hash-sampled shingles (one in
-   ``SAMPLED``) are mostly its own has no link (five standard deviations of slack).
+   shares 85 % of its shingles, so one of which more occur in no other such member
+   has no link (counted on full sets: an exact bound).
    Of the others a pair is kept if its sizes, the shingles that only one of the
    lists' members has, and those that either lacks of a common hub leave room for
    the similarity (exact bounds).  So a group of thousands of near copies is not
-   expanded into its pairs.
+   expanded into its pairs.  Lists longer than ``CELL`` are cut into parts, and each
+   pair of parts is a join key of its own, so no list is one task.
 4. Candidates with ``CLOSE`` of ``COORDINATES`` equal coordinates and fitting sizes
    are confirmed on the full shingle sets, 100 * intersection >= 85 * union.
 
 Only the first ``POSTED`` coordinates are posted.  At similarity 0.85 a pair has
 fewer than 7 of 16 equal coordinates with probability 2e-5 and fewer than 40 of 64
-with 3e-6 (binomial); the skip above errs with 3e-7 a member.  There is no other
-way to miss a link.
+with 3e-6 (binomial).  There is no other way to miss a link.
 
 Cases: null or empty texts have no shingles and no links; fewer words than a
 shingle count as one; equal texts are one class; rows with equal ids are one
@@ -36,6 +36,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +53,7 @@ COORDINATES = 64
 CLOSE = 40
 POSTED = 16
 MATCHES = 7
-SAMPLED = 4
+CELL = 256
 PERCENT = 85
 _SEEDS = np.random.default_rng(3).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -100,7 +102,8 @@ def signed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def postings(classes: DataFrame) -> DataFrame:
     """(coord, value, node, n, central): the rarest tokens of each class that other classes have too."""
     tokens = classes.select("node", "n", F.posexplode(F.slice("signature", 1, POSTED)).alias("coord", "value"))
-    shared = tokens.groupBy("coord", "value").agg(F.count("*").alias("df")).filter("df > 1")
+    # written, as the other tables by list: a join of two scans can split a long list, one with an aggregate cannot
+    shared = written(tokens.groupBy("coord", "value").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     rows = tokens.join(shared, ["coord", "value"]).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "coord", "value"))).alias("t"))
     # tokens of one class alone come first in the order: they use up the prefix without a posting
     keep = F.size("t") - F.lit(MATCHES - 1)
@@ -109,24 +112,6 @@ def postings(classes: DataFrame) -> DataFrame:
     return posted.select(F.col("x.coord").alias("coord"), F.col("x.value").alias("value"), "node", "n", "central")
 
 
-def linkable(texts: DataFrame, of: DataFrame) -> DataFrame:
-    """The nodes of ``of`` whose sampled shingles occur in other texts often enough for any link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                picked = [s[s % np.uint64(SAMPLED) == 0].view(np.int64) for s in shingle_sets(b.column(1))]
-                node = np.repeat(b.column(0).to_numpy(), [len(x) for x in picked])
-                yield pa.record_batch([pa.array(node, pa.int64()), pa.array(np.concatenate(picked))], names=["node", "h"])
-
-    rows = written(texts.select("node", "text").mapInArrow(run, "node long, h long"), "shingle-sample")
-    common = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h", F.lit(1).alias("c"))
-    own = rows.join(of, "node", "left_semi").join(common, "h", "left").groupBy("node").agg(F.count("*").alias("k"), F.count("c").alias("c"))
-    slack = 5 * F.sqrt(F.lit(PERCENT / 100 * (1 - PERCENT / 100)) / F.col("k"))
-    alone = own.filter(F.col("c") / F.col("k") < PERCENT / 100 - slack)
-    return of.join(alone, "node", "left_anti")
-
-
 def shingle_rows(texts: DataFrame) -> DataFrame:
     """(node, h): the distinct shingles of each text."""
 
@@ -138,6 +123,13 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, h long")
 
 
+def linkable(texts: DataFrame, of: DataFrame) -> DataFrame:
+    """The nodes (node, n) of ``of`` whose shingles occur in others of them often enough for any link."""
+    near = texts.join(of.select("node").hint("merge"), "node", "left_semi")
+    alone = shingle_rows(near).groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("df")).filter("df = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return of.join(alone, "node", "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= PERCENT * F.col("n")).select("node")
+
+
 def traits(texts: DataFrame, pivots: DataFrame) -> DataFrame:
     """(node, own, pivot, lacks): how many shingles no other of these nodes has, and those of the pivot that the node lacks.
 
@@ -195,7 +187,17 @@ def _mixed(member: DataFrame) -> DataFrame:
     """Members of the lists that span components, with the list's largest component (major)."""
     sizes = member.groupBy("coord", "value", "component").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("coord", "value").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    return member.join(mixed.select("coord", "value", F.col("top.component").alias("major")), ["coord", "value"])
+    return member.join(written(mixed.select("coord", "value", F.col("top.component").alias("major")), "mixed"), ["coord", "value"])
+
+
+def _cells(of_mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairs of each list: its members dealt to parts, each part once for every part of the other side."""
+    sizes = written(of_mixed.groupBy("coord", "value").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "sizes")
+    dealt = of_mixed.join(sizes, ["coord", "value"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = dealt.filter("component <> major").withColumn("other", other)
+    right = dealt.withColumnRenamed("part", "mine").withColumn("part", other).withColumnRenamed("mine", "other")
+    return left, right
 
 
 CONFIRMED = "a long, b long"
@@ -245,7 +247,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = written(docs.join(active.hint("merge"), docs.doc_id == active.node, "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
     signatures = classes.select("node", "signature")
 
-    hubs = posts.groupBy("coord", "value").agg(F.max(F.struct("central", (-F.col("node")).alias("i"), "node", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
+    hubs = written(posts.groupBy("coord", "value").agg(F.max(F.struct("central", (-F.col("node")).alias("i"), "node", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1"), "hubs")
     star = posts.join(hubs, ["coord", "value"]).select(F.col("node").alias("a"), "n", F.col("hub.node").alias("b"), F.col("hub.n").alias("m"))
     star = star.filter((F.col("a") != F.col("b")) & _fits("n", "m")).select("a", "b").distinct()
     links = written(confirm(star, signatures, texts), "star-links")
@@ -253,17 +255,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     member = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("central")
     member = written(member, "members")
-    hopeful = written(linkable(texts, _mixed(member).select("node").distinct()), "linkable")
-    of_mixed = _mixed(member.join(hopeful, "node", "left_semi"))
+    hopeful = written(linkable(texts, written(_mixed(member).select("node", "n").distinct(), "spanning")), "linkable")
+    of_mixed = written(_mixed(member.join(hopeful, "node", "left_semi")), "hopeful")
     # of the hubs a node meets the most central one is its pivot: near copies mostly have the same
     pivots = of_mixed.join(hubs, ["coord", "value"]).groupBy("node").agg(F.max(F.struct("hub.central", "hub.i"))["i"].alias("i")).select("node", (-F.col("i")).alias("pivot"))
     known = written(traits(texts, written(pivots, "pivots")), "traits")
     # the traits of one node are some tens of integers; a list's members pair by what could link at all
     of_mixed = written(of_mixed.join(known, "node"), "mixed")
-    left = of_mixed.filter("component <> major").alias("x")
-    right = of_mixed.alias("y")
+    left, right = (side.alias(name) for side, name in zip(_cells(of_mixed), "xy", strict=True))
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") > F.col("y.node")))
-    same = (F.col("x.coord") == F.col("y.coord")) & (F.col("x.value") == F.col("y.value"))
+    same = reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("coord", "value", "part", "other")])
     rest = left.join(right, same & apart & _may_link("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = written(confirm(rest.distinct(), signatures, texts), "rest-links")
     if more.limit(1).count():

@@ -55,7 +55,7 @@ def minimizers(h: np.ndarray) -> np.ndarray:
     m = np.minimum(s[:-1], s[1:])  # 2, 4, 8 and 9 neighbours
     m = np.minimum(m[:-2], m[2:])
     m = np.minimum(m[:-4], m[4:])
-    return np.minimum(m[:-1], s[8:])[:n]
+    return mix(np.minimum(m[:-1], s[8:])[:n])  # minima are small: mixed, they fill all buckets alike
 
 
 def _distinct(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
