@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -51,7 +52,7 @@ def test_odd_rows(spark):
     empty = langid.fit(df.filter("doc_id = 1"))
     assert {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
-    clash = df.selectExpr("*", "1 as score", "'q' as lang_pred", "7 as h")
+    clash = df.selectExpr("*", "1 as score", "'q' as lang_pred", "7 as h", "8 as k", "9 as l", "2 as t")
     assert langid.predict(clash, langid.fit(clash)).filter("lang_pred = 'q'").count() == 0
 
 
@@ -60,3 +61,35 @@ def test_long_texts_are_read_whole():
     tail = np.concatenate([raw, np.frombuffer(b" zyx" * 200_000, np.uint8)])
     assert float(langid.features(raw) @ langid.features(tail)) < 0.99
     assert float(np.linalg.norm(langid.features(tail))) == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("ident", [None, 5])
+def test_the_sample_is_bounded_whatever_the_ids(spark, ident):
+    rows = [(ident, f"text number {i} of one language", "en") for i in range(3000)] + [(ident, f"wort nummer {i}", "de") for i in range(50)]
+    got = langid.sample(labelled(spark, rows), 400, "text", "lang")
+    assert [sum(lang == x for lang, _ in got) for x in ("de", "en")] == [50, 400]
+    assert all(x.shape == (langid.DIMS,) for _, x in got)
+
+
+def test_votes_against_brute_force():
+    """The winner of all duels, by plain loops over the machines."""
+    r = np.random.default_rng(5)
+    names = ["a", "b", "c", "d"]
+    model = langid.Discriminator({"f": names}, {(x, y): r.normal(size=langid.DIMS + 1).astype(np.float32) for i, x in enumerate(names) for y in names[i + 1 :]})
+    for _ in range(50):
+        x = r.normal(size=langid.DIMS).astype(np.float32) / 64
+        wins, least = dict.fromkeys(names, 0), dict.fromkeys(names, 1.0)
+        for (p, q), w in model.machines.items():
+            side = 1 / (1 + math.exp(-2 * max(-20, min(20, float(x @ w[:-1] + w[-1])))))
+            wins[p if side >= 0.5 else q] += 1
+            least[p], least[q] = min(least[p], side), min(least[q], 1 - side)
+        best = sorted(names, key=lambda n: (-wins[n], -least[n]))[0]
+        got = model.vote(names, x)
+        assert got[0] == best and got[1] == pytest.approx(least[best], rel=1e-4)
+
+
+def test_query_scores_are_those_of_single_texts(spark, documents):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(docs.filter(langid.fold("doc_id", 3) != 1))
+    rows = {r.doc_id: (r.lang_pred, r.score) for r in queries.op10_language(spark, SMALL).collect()}
+    assert rows == {d["doc_id"]: model.predict((d["text"] or "").encode()) for d in documents}

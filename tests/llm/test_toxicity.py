@@ -8,8 +8,11 @@ import pytest
 
 from tidegrid.llm import queries, toxicity
 from tidegrid.llm.decontaminate import _FOLD
+from tidegrid.llm.langid import fold
 from tidegrid.llm.textarrays import Chunk
 
+from .conftest import SMALL
+
 
 def test_gradient_is_the_slope_of_the_loss():
     net = toxicity.Net(1)
@@ -93,3 +96,32 @@ def test_the_first_epochs_take_every_window(monkeypatch):
     monkeypatch.setattr(toxicity.Net, "forward", counted)
     toxicity.train(texts, np.array([1] * 700 + [0] * 2100), epochs=1)
     assert sum(seen) == len(first) > 18_000
+
+
+def test_labels_without_texts_take_no_place_in_the_sample(spark, frame, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.append((len(texts), int(sum(labels)), sum(map(len, texts)))))
+    docs = frame([(i, f"text {i} " + "w " * (i % 3) * 1000) for i in range(80)] + [(i, "twice the same") for i in (3, 5, 5)] + [(None, "no id")])
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(20_000)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    assert taken[0][:2] == (81, 41)  # each text once, and the one that two toxic documents share
+    toxicity.fit(docs, labels, per_class=30)
+    assert taken[1][:2] == (60, 30)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10_000)
+    toxicity.fit(docs, labels)
+    assert taken[2][2] <= 20_000 and taken[2][0] > 30
+    assert toxicity.fit(docs, labels.filter("doc_id > 100")) is None
+
+
+def test_query_scores_are_those_of_single_texts(spark, documents):
+    """The query against the network run over one text after the other, each window by itself."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    net = toxicity.fit(docs.filter(fold("doc_id", 3) != 1), spark.read.parquet(f"{SMALL}/labels.parquet").filter(fold("doc_id", 3) != 1))
+    rows = {r.doc_id: r.score for r in queries.op7_toxicity(spark, SMALL).collect()}
+    for d in documents[:40]:
+        want = 0.0
+        tokens = [t for t in bytes(_FOLD[np.frombuffer((d["text"] or "").encode(), np.uint8)]).split()]
+        if tokens:
+            starts = [0, *range(toxicity.STRIDE, len(tokens) - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE)]
+            want = max(float(toxicity.score_column(net, pa.array([b" ".join(tokens[s : s + toxicity.WINDOW]).decode()]))[0]) for s in starts)
+        assert rows[d["doc_id"]] == pytest.approx(want, abs=1e-4)

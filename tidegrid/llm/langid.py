@@ -4,11 +4,14 @@ A text's letters become hashed byte n-gram counts of unit length.  A family is
 predicted first (one-versus-one linear support vector machines over families);
 machines between the pairs of languages within the family then vote.
 
-The machines are fitted on a bounded sample: at most ``SAMPLE`` documents of
-each language, those of the least hashed ids, so the sample is the same on every
-run.  Prediction reads whole texts, in one pass and without a shuffle.
-
-Cases: a null text or one without a letter is ``und`` with score 0; rows without
+The machines are fitted on a bounded sample: at most ``SAMPLE`` distinct texts of
+each language, those of the least hashes, so the sample is the same on every run, and
+of the ``LANGUAGES`` languages with the most texts.  Texts are turned into features
+(16 KB each, however long the text) before they leave the executors.  Prediction
+reads whole texts, in one pass and without a shuffle.
+
+Cases: rows that share an id, or have none, are rows like any others; equal texts
+of a language are learnt once; a very long text is read whole; a null text or one without a letter is ``und`` with score 0; rows without
 a language are not learnt from; a single language is predicted for every text;
 without any labelled row everything is ``und``; ties go to the first language in
 alphabetical order; other columns are ignored.
@@ -22,14 +25,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textarrays import CHUNK_BYTES, LOWER, text_buffers
 
-#: Labelled documents learnt from, of each language.
+#: Labelled texts learnt from, of each language, and languages learnt.
 SAMPLE = 400
+LANGUAGES = 200
 DIMS = 1 << 12
 #: Languages of one family; a language not named here is a family of its own.
 FAMILIES = {
@@ -121,25 +125,29 @@ class Discriminator:
         return lang, p * q
 
 
-def sample(df: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
-    """At most per_language labelled texts of each language: those of the least hashed ids."""
-    known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keys = known.select(lang_col, id_col, F.xxhash64(id_col).alias("h"))
-    langs = [r[0] for r in known.select(lang_col).distinct().orderBy(lang_col).collect()]
-    chosen = None
-    for lang in langs:  # as many as there are languages
-        top = keys.filter(F.col(lang_col) == lang).orderBy("h", id_col).limit(per_language).select(F.col(id_col).alias("_id"))
-        chosen = top if chosen is None else chosen.unionByName(top)
-    if chosen is None:
-        return []
-    # at most per_language ids of each language: small whatever the input
-    rows = known.join(F.broadcast(chosen.distinct()), F.col(id_col).eqNullSafe(F.col("_id"))).select(lang_col, F.col(text_col).cast("binary"), id_col)
-    return [(r[0], bytes(r[1])) for r in sorted(rows.collect(), key=lambda r: (r[0], r[2] or 0, r[1]))]
-
-
-def fit(df: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Discriminator:
-    """Fit on df's labelled rows; the driver holds the bounded sample alone."""
-    rows = [(lang, raw) for lang, raw in sample(df, per_language, id_col, text_col, lang_col) if has_letter(raw)]
+def sample(df: DataFrame, per_language: int, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray]]:
+    """(language, features) of at most per_language distinct texts with a letter of each language: those of the least hashes."""
+    known = df.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    keyed = known.withColumn("h", F.xxhash64("t"))
+    largest = keyed.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).select("l")
+    # the limit of a group is kept by every task before rows are dealt, so a frequent language is no large group
+    least = Window.partitionBy("l").orderBy("h")
+    chosen = keyed.select("l", "h").distinct().join(largest, "l").withColumn("k", F.row_number().over(least)).filter(F.col("k") <= per_language).select("l", "h")
+    one = keyed.join(chosen, ["l", "h"]).groupBy("l", "h").agg(F.first("t").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = text_buffers(b.column(2))
+            made = [features(raw[off[i] : off[i + 1]]).tobytes() for i in range(b.num_rows)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["l", "h", "x"])
+
+    rows = one.mapInArrow(run, T.StructType([T.StructField("l", T.StringType()), T.StructField("h", T.LongType()), T.StructField("x", T.BinaryType())])).collect()
+    return [(r[0], np.frombuffer(r[2], np.float32)) for r in sorted(rows, key=lambda r: (r[0], r[1]))]
+
+
+def fit(df: DataFrame, per_language: int = SAMPLE, text_col: str = "text", lang_col: str = "lang") -> Discriminator:
+    """Fit on df's labelled rows; the driver holds the features of the bounded sample alone."""
+    rows = sample(df, per_language, text_col, lang_col)
     langs = sorted({r[0] for r in rows})
     families: dict[str, list[str]] = {}
     for lang in langs:
@@ -147,7 +155,7 @@ def fit(df: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_
     model = Discriminator(families)
     if not rows:
         return model
-    x = np.stack([features(np.frombuffer(raw, np.uint8)) for _, raw in rows])
+    x = np.stack([r[1] for r in rows])
     lang = np.array([r[0] for r in rows])
     family = np.array([_FAMILY.get(n.lower().split("-")[0], f"~{n}") for n in lang])
     for names, of in ((sorted(families), family), *((v, lang) for v in families.values())):

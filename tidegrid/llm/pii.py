@@ -2,16 +2,22 @@
 
 Base patterns find e-mail addresses, IPv4 addresses, card numbers (Luhn) and
 telephone numbers in whole texts.  They are the seeds: the two words before a
-find are a lexical pattern.  Every other token with a digit or an ``@`` is an
-instance that patterns may claim.  Spark scores the graph of patterns and
+find are a lexical pattern.  Every other token with a digit or an ``@``, of four
+characters or more without its outer punctuation, is an instance that patterns may
+claim; digit groups with single spaces between them are one instance.  Spark scores the graph of patterns and
 instances for ``ROUNDS`` rounds: a pattern is as sure of a kind as the share of
 its distinct instances that are of it, an instance as sure as the noisy-or of its
 patterns.  Patterns with at least ``SUPPORT`` instances' worth of evidence and
 confidence ``SURE`` then claim unseen identifiers, which are added to the base.
 
-Cases: a null text is an empty one; no finds give an empty string; a find that
+Words and identifiers may be of any length; those over ``KEPT`` characters are told
+apart by a 128-bit hash.
+
+Cases: a null text is an empty one; a very long text or line is read whole, in time
+linear in its length; no finds give an empty string; a find that
 fails its test is dropped and not tried again; identical rows are each reported;
-equal scores go to the kind listed first; other columns are ignored.
+equal scores go to the kind listed first; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SUPPORT = 5
 SURE = 0.8
-LONGEST = 64
+KEPT = 128
 
 # The possessive forms and the look-behind find what the plain patterns find, in linear time.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -42,6 +48,7 @@ _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 _HINT = re.compile(r"[0-9@]")
 _HINTS = re.compile(r"[0-9@]+")
 _SPACES = re.compile(r"[\x20\x09-\x0d]")
+_GROUPS = re.compile(r"[0-9(+][0-9().+-]*+(?:\x20[0-9(][0-9().-]*+)+[,;:!?]*+(?=[\x20\x09-\x0d]|\Z)")
 
 
 def luhn(digits: str) -> bool:
@@ -87,32 +94,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def pattern_before(text: str, start: int) -> str:
-    """The two words before a place, lower-cased; a line start counts as a word."""
-    line = text[max(0, start - 3 * LONGEST) : start].rpartition("\n")[2]
-    words = ["^", "^", *line.lower().split()][-2:]
-    out = " ".join(words)
-    return out if len(out) <= 2 * LONGEST else "#" + hashlib.blake2b(out.encode(), digest_size=8).hexdigest()
+def key(text: str) -> str:
+    """A text in lower case, or its hash if it is long."""
+    out = text.lower()
+    return out if len(out) <= KEPT else "#" + hashlib.blake2b(out.encode(), digest_size=16).hexdigest()
+
+
+def patterns_before(text: str, starts: list[int]) -> Iterator[str]:
+    """For each of the ascending places the two words before it, lower-cased; a line start counts as a word."""
+    line = at = 0
+    for start in starts:
+        newline = text.rfind("\n", at, start)
+        line, at = (newline + 1 if newline >= 0 else line), start
+        reach = KEPT
+        while True:  # as far back as two whole words need
+            low = max(line, start - reach)
+            words = text[low:start].split()
+            if low == line or len(words) > 2:
+                break
+            reach *= 2
+        yield key(" ".join(["^", "^", *words][-2:]))
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """Tokens with a digit or an @ that no base find touches, without outer punctuation."""
-    done, spans, k = 0, base, 0
+    done = k = 0
     for m in _HINTS.finditer(text):
         if m.start() < done:
             continue
-        lo = max(done, m.start() - LONGEST)
-        left = max(text.rfind(c, lo, m.start()) for c in " \n\t\r\x0b\x0c") + 1 or lo
-        stop = _SPACES.search(text, m.end())
-        right = stop.start() if stop else len(text)
+        left = max(text.rfind(c, done, m.start()) for c in " \n\t\r\x0b\x0c") + 1 or done
+        stop = _GROUPS.match(text, left)
+        if stop is None:
+            stop = _SPACES.search(text, m.end())
+            right = stop.start() if stop else len(text)
+        else:
+            right = stop.end()
         done = right
-        while k < len(spans) and spans[k][2] <= left:
+        while k < len(base) and base[k][2] <= left and base[k][0] < left:
             k += 1
-        if any(s < right and e > left for s, _, e in spans[k : k + 8]):
+        if any(s < right and e > left for s, _, e in base[k : k + 8]):
             continue
         token = text[left:right]
         inner = token.strip(".,;:!?\"'()[]{}<>|*#$%&=")
-        if 4 <= len(inner) <= LONGEST:
+        if len(inner) >= 4:
             left += token.index(inner)
             yield left, left + len(inner)
 
@@ -131,9 +155,10 @@ def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for text in b.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                own = [(pattern_before(text, s), text[s:e].lower()[: 2 * LONGEST], k, s, e) for s, k, e in base]
+                spots = [(s, e, k) for s, k, e in base]
                 if _HINT.search(text):
-                    own += [(pattern_before(text, s), text[s:e].lower(), -1, s, e) for s, e in instances(text, base)]
+                    spots = sorted(spots + [(s, e, -1) for s, e in instances(text, base)])
+                own = [(before, key(text[s:e]), k, s, e) for (s, e, k), before in zip(spots, patterns_before(text, [s for s, *_ in spots]), strict=True)]
                 bases.append([dict(zip(("start", "kind", "end"), x, strict=True)) for x in base])
                 edges.append([dict(zip(("pattern", "instance", "kind", "start", "end"), x, strict=True)) for x in own])
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(bases, span), pa.array(edges, edge)], names=["doc_id", "base", "edges"])

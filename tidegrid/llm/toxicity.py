@@ -8,13 +8,15 @@ window's.  Trained in numpy by back-propagation (Adam): labels belong to texts,
 after two passes over all windows each toxic text teaches through its windows of
 highest score, and each clean one through its highest and some others.
 
-Fitting takes a bounded sample, at most ``SAMPLE`` texts of each class, those of the
-least hashed ids; scoring takes one pass without a shuffle.
+Fitting takes a bounded sample of the labelled texts: of each class at most ``SAMPLE``
+distinct ones, those of the least hashes, and no more of them than ``SAMPLE_BYTES``
+hold (a text that does not fit is passed over).  Scoring takes one pass without a
+shuffle and reads whole texts.
 
 Cases: null, empty or token-free texts score 0; without both classes among the
 labels every text scores 0; a text labelled both ways counts as toxic; labels
-without a text and texts without a label are left out of training; other columns
-are ignored.
+without a text and texts without a label take no place in the sample; equal texts of
+a class are learnt once; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from .textarrays import Chunk, chunks, mix, word_hashes, words
 
 #: Texts learnt from, of each class.
 SAMPLE = 1200
+SAMPLE_BYTES = 16 << 20
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS, D, H, A = 1 << 12, 1 << 13, 8, 8, 8
 #: Windows scored at once.
@@ -242,14 +245,21 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 9, size: int = 2
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Net | None:
     """A network from labelled texts; the driver holds the bounded sample alone. None without two classes."""
-    of = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    known = of.filter("_y > 0").orderBy(*order).limit(per_class).unionByName(of.filter("_y <= 0").orderBy(*order).limit(per_class))
-    # at most two classes of per_class ids: small whatever the input
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(known), "_id").filter("t is not null").select("_id", "_y", "t").collect()
-    rows = sorted((r[0], int(r[1] > 0), bytes(r[2])) for r in rows)
-    if len({r[1] for r in rows}) < 2:
+    of = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).filter("t is not null")
+    known = texts.join(of, "_id").select("y", "t", F.xxhash64("t").alias("h"), F.octet_length("t").alias("n"))
+    chosen: list[tuple[int, int]] = []
+    for y in (0, 1):  # first which texts, from their hashes and sizes; then those texts alone
+        held = 0
+        for r in known.filter(F.col("y") == y).groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(per_class).collect():
+            if held + r["n"] <= SAMPLE_BYTES:
+                held += r["n"]
+                chosen.append((y, r["h"]))
+    if len({y for y, _ in chosen}) < 2:
         return None
+    keys = docs.sparkSession.createDataFrame(chosen, "y int, h long")  # two classes of per_class at most
+    one = known.join(F.broadcast(keys), ["y", "h"]).groupBy("y", "h").agg(F.first("t").cast("binary").alias("t"))
+    rows = sorted((r["h"], r["y"], bytes(r["t"])) for r in one.collect())
     return train([r[2] for r in rows], np.array([r[1] for r in rows]))
 
 
