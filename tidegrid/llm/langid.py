@@ -125,15 +125,21 @@ class Discriminator:
         return lang, p * q
 
 
+def share(h: Column) -> Column:
+    """A hash as a number from 0 to 1."""
+    return F.shiftrightunsigned(h, 11) / float(1 << 53)
+
+
 def sample(df: DataFrame, per_language: int, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray]]:
     """(language, features) of at most per_language distinct texts with a letter of each language: those of the least hashes."""
     known = df.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
     keyed = known.withColumn("h", F.xxhash64("t"))
-    largest = keyed.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).select("l")
-    # the limit of a group is kept by every task before rows are dealt, so a frequent language is no large group
-    least = Window.partitionBy("l").orderBy("h")
-    chosen = keyed.select("l", "h").distinct().join(largest, "l").withColumn("k", F.row_number().over(least)).filter(F.col("k") <= per_language).select("l", "h")
-    one = keyed.join(chosen, ["l", "h"]).groupBy("l", "h").agg(F.first("t").alias("t"))
+    largest = keyed.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "l").limit(LANGUAGES).select("l", "d")
+    # about four times the sample are under this bound, however many texts there are
+    near = keyed.select("l", "h").join(F.broadcast(largest), "l").filter(share(F.col("h")) < 4.0 * per_language / F.col("d")).distinct()
+    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(share(F.col("h")), "h"))).filter(F.col("k") <= per_language).select("l", "h")
+    # at most per_language hashes of each of LANGUAGES languages
+    one = keyed.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.first("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

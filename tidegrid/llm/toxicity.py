@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .decontaminate import _FOLD
+from .langid import share
 from .textarrays import Chunk, chunks, mix, word_hashes, words
 
 #: Texts learnt from, of each class.
@@ -246,19 +247,26 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 9, size: int = 2
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Net | None:
     """A network from labelled texts; the driver holds the bounded sample alone. None without two classes."""
     of = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).filter("t is not null")
-    known = texts.join(of, "_id").select("y", "t", F.xxhash64("t").alias("h"), F.octet_length("t").alias("n"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
+    # first which texts, from hashes and sizes: no text is moved for that
+    known = texts.select("_id", "h", F.octet_length("t").alias("n")).join(of, "_id").select("y", "h", "n")
+    many = {r["y"]: r["d"] for r in known.groupBy("y").agg(F.approx_count_distinct("h").alias("d")).collect()}
+    if len(many) < 2:
+        return None
+    # about four times the sample are under this bound, however many texts there are
+    bound = F.when(F.col("y") == 1, 4.0 * per_class / many[1]).otherwise(4.0 * per_class / many[0])
+    near = known.filter(share(F.col("h")) < bound).groupBy("y", "h").agg(F.max("n").alias("n")).collect()
     chosen: list[tuple[int, int]] = []
-    for y in (0, 1):  # first which texts, from their hashes and sizes; then those texts alone
-        held = 0
-        for r in known.filter(F.col("y") == y).groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(per_class).collect():
-            if held + r["n"] <= SAMPLE_BYTES:
-                held += r["n"]
+    for y in (0, 1):
+        held = taken = 0
+        for r in sorted((r for r in near if r["y"] == y), key=lambda r: r["h"] % (1 << 64)):
+            if taken < per_class and held + r["n"] <= SAMPLE_BYTES:
+                held, taken = held + r["n"], taken + 1
                 chosen.append((y, r["h"]))
     if len({y for y, _ in chosen}) < 2:
         return None
     keys = docs.sparkSession.createDataFrame(chosen, "y int, h long")  # two classes of per_class at most
-    one = known.join(F.broadcast(keys), ["y", "h"]).groupBy("y", "h").agg(F.first("t").cast("binary").alias("t"))
+    one = texts.join(F.broadcast(keys), "h").groupBy("y", "h").agg(F.first("t").cast("binary").alias("t"))
     rows = sorted((r["h"], r["y"], bytes(r["t"])) for r in one.collect())
     return train([r[2] for r in rows], np.array([r[1] for r in rows]))
 
