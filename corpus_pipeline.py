@@ -1,16 +1,18 @@
 """From raw documents to token ids: five stages, each over all that the one before kept.
 
-1. ``language``: documents without a language (no letter) or of which the
-   discriminator is not sure at all (score under ``UNSURE``) go; where no document
-   is labelled, only those without a letter.
+1. ``language``: documents without a language go.  The discriminator names one of the
+   learnt languages for every text with a letter, so these are the texts without a
+   letter; how sure it is decides nothing.
 2. ``near_duplicates``: of each component of near copies the least document stays.
 3. ``decontaminate``: documents that cover a benchmark item go.
 4. ``private``: personal data is replaced by its kind in brackets.
 5. ``encode``: every text becomes ids, and is decoded again from them.
 
 A stage's output is written as Parquet in the shared folder and read as the next
-one's input.  Null texts have no language and go in stage 1; rows that share an id
-and a component's least id all stay in stage 2; an empty table passes through.
+one's input; then what the stage wrote on its way is deleted.  Null texts have no language and go in stage 1; rows that share an id
+and a component's least id all stay in stage 2; a very long text is treated whole by
+every stage; columns beside those of documents are dropped, whatever their names; an
+empty table passes through.
 """
 
 from __future__ import annotations
@@ -20,20 +22,17 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, decontaminate, langid, minhash, pii
 from tidegrid.llm.queries import WORD_VOCABULARY
-from tidegrid.llm.session import small_batches, table, written
+from tidegrid.llm.session import forget, made, small_batches, table, written
 
-#: The product of two confidences; 0.25 is the least that two even duels give.
-UNSURE = 0.25
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = langid.fit(docs.filter(langid.fold("doc_id", 3) != 1))
-    if not model.families:  # nothing is labelled: only what has no letter can be rejected
+    if not model.families:  # nothing is labelled: what has a letter stays all the same
         return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
-    judged = langid.predict(docs.select(*COLUMNS), model)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= UNSURE)).select(*COLUMNS)
+    return langid.predict(docs.select(*COLUMNS), model).filter("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +65,10 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decont
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    since = made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
