@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -66,6 +67,16 @@ def test_encoding_is_the_library_s(stages):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_run_leaves_one_table(spark):
+    from tidegrid.shared import shared_dir
+
+    where = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(where.iterdir())
+    out = corpus_pipeline.run(spark, SMALL)
+    assert [p.name.split("-")[1] for p in set(where.iterdir()) - before] == ["private"]
+    assert out.count()
+
+
 def test_run_is_the_stages_in_order(stages, spark):
     got = {(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SMALL).select("doc_id", "ids_sha256").collect()}
     assert got == {(r.doc_id, r.ids_sha256) for r in stages["encode"]}
@@ -76,5 +87,5 @@ def test_odd_tables(spark):
     for data in (rows, []):
         docs = spark.createDataFrame(data, DOCS)
         for name, stage in corpus_pipeline.STAGES:
-            docs = written(stage(spark, docs.withColumn("extra", docs.doc_id), SMALL), f"odd-{name}")
+            docs = written(stage(spark, docs.withColumns({x: docs.doc_id for x in ("extra", "row", "h", "node", "lang_pred", "_row", "spans", "ids")}), SMALL), f"odd-{name}")
         assert docs.count() == (3 if data else 0)

@@ -28,13 +28,11 @@ def made() -> int:
     return len(_MADE)
 
 
-def forget(spark: SparkSession, since: int, *keep: DataFrame) -> None:
-    """Delete the tables written since the mark, once nothing reads them any more; those that keep reads stay."""
-    kept = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
-    for path in _MADE[since:]:
-        if not any(path.rsplit("/", 1)[1] in k for k in kept):
-            remove(spark, path)
-    _MADE[since:] = [p for p in _MADE[since:] if any(p.rsplit("/", 1)[1] in k for k in kept)]
+def forget(spark: SparkSession, since: int) -> None:
+    """Delete the tables written since the mark but the last one, which all that went before it has become."""
+    for path in _MADE[since:-1]:
+        remove(spark, path)
+    del _MADE[since:-1]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
