@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -34,7 +34,7 @@ _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def _powers(seed: int, inverse: bool, n: int) -> np.ndarray:
-    """base**0..base**(n-1) modulo 2**64; grown by doubling and kept up to 4 MiB of text."""
+    """base**0..base**(n-1) modulo 2**64; grown by doubling and kept up to 1 MiB of text."""
     key = (seed, inverse)
     have = _POWERS.get(key)
     if have is None or len(have) < n:
