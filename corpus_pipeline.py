@@ -21,37 +21,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, decontaminate, langid, minhash, pii
+from tidegrid.llm.blocks import text_bytes
 from tidegrid.llm.queries import WORD_VOCABULARY
-from tidegrid.llm.session import forget, made, small_batches, table, written
+from tidegrid.llm.session import compact, forget, made, small_batches, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _compact(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """A stage's rows in few files, however many partitions its joins had: the next stage opens each of them."""
+    return compact(out, text_bytes(docs))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = langid.fit(docs.filter(langid.fold("doc_id", 3) != 1))
     if not model.families:  # nothing is labelled: what has a letter stays all the same
         return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
-    return langid.predict(docs.select(*COLUMNS), model).filter("lang_pred <> 'und'").select(*COLUMNS)
+    return _compact(langid.predict(docs.select(*COLUMNS), model).filter("lang_pred <> 'und'").select(*COLUMNS), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     keyed = docs.select(*COLUMNS)
     gone = minhash.near_duplicates(keyed).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return keyed.join(gone, keyed.doc_id == gone["_gone"], "left_anti")
+    return _compact(keyed.join(gone, keyed.doc_id == gone["_gone"], "left_anti"), docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     bad = decontaminate.judge(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
     keyed = docs.select(*COLUMNS)
-    return keyed.join(bad, keyed.doc_id == bad["_bad"], "left_anti")
+    return _compact(keyed.join(bad, keyed.doc_id == bad["_bad"], "left_anti"), docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return pii.redact(docs.select(*COLUMNS))
+    return _compact(pii.redact(docs.select(*COLUMNS)), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
