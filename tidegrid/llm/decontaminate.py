@@ -3,8 +3,9 @@
 Tokens are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII
 bytes.  A seed is five neighbouring tokens.
 
-1. A bit table of fixed size says which seeds may be in the benchmark.  One pass over
-   the documents keeps each row's seeds that pass, and its text if there are any.
+1. Texts are judged, not rows: a text goes by 128 bits of hash, so copies are judged
+   once.  A bit table of fixed size says which seeds may be in the benchmark, and one
+   pass over the documents keeps each text's seeds that pass.
 2. Seeds meet in a join.  An item that is covered to ``COVERAGE`` shares seeds that
    cover as many tokens, so an item is posted only under its rarest seeds: the
    commonest ones are left out as long as they could not cover enough by themselves.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import written
-from .textarrays import Chunk, chunks, mix, shingle_hashes, word_hashes, words
+from .textarrays import Chunk, chunks, mix, shingle_hashes, within, word_hashes, words
 
 SEED = 5
 COVERAGE = 0.6
@@ -174,63 +175,71 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return written(known.mapInArrow(run, "irow long, item_id long, item string, need long, seeds array<long>, gains array<long>"), "items")
 
 
-def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, doc_id, n_tokens, seeds, text) of every document; seeds: those that the benchmark may have, text: if there are any."""
-    seed = F.explode("seeds").alias("seed")
+def _maybe(items: DataFrame) -> np.ndarray:
+    """The bit table of the benchmark's seeds."""
     word = F.shiftrightunsigned("seed", 6).bitwiseAND((1 << (BITS - 6)) - 1)
-    table = items.select(seed).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits"))
-    maybe = np.zeros(1 << (BITS - 6), np.uint64)
+    table = items.select(F.explode("seeds").alias("seed")).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (BITS - 6), np.uint64)
     for r in table.collect():  # at most the words of the bit table, whatever the benchmark's size
-        maybe[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    held = docs.sparkSession.sparkContext.broadcast(maybe)
+        out[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def _shared(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(k1, k2, seed): the distinct seeds of each text that the benchmark may have."""
+    held = texts.sparkSession.sparkContext.broadcast(_maybe(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes: list[int] = []
-            seeds: list[np.ndarray] = []
             for c, h, off in token_chunks(batch.column(2)) if batch.num_rows else ():
                 s = shingle_hashes(h, SEED)
+                row = np.repeat(np.arange(c.n_docs), np.diff(off))[: len(s)]
                 hit = (held.value[((s >> np.uint64(6)) & np.uint64((1 << (BITS - 6)) - 1)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1)
-                at = np.flatnonzero(hit)
-                lo, hi = np.searchsorted(at, off[:-1]), np.searchsorted(at, np.maximum(off[:-1], off[1:] - SEED + 1))
-                sizes += np.diff(off).tolist()
-                seeds += [np.unique(s[at[x:y]]).view(np.int64) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-            lists = pa.array(seeds, pa.list_(pa.int64()))
-            text = pa.compute.if_else(pa.array([len(x) > 0 for x in seeds], pa.bool_()), batch.column(2), pa.scalar(None, pa.string()))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), lists, text], names=["row", "doc_id", "n_tokens", "seeds", "text"])
+                at = np.flatnonzero((hit > 0) & within(off, SEED, len(s))) if len(s) else np.zeros(0, np.int64)
+                which = pa.array(row[at] + c.first)
+                yield pa.record_batch([batch.column(0).take(which), batch.column(1).take(which), pa.array(s[at].view(np.int64))], names=["k1", "k2", "seed"])
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return written(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, seeds array<long>, text string"), "seeded")
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, seed long").distinct()
 
 
-def candidates(found: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, irow): pairs whose shared seeds cover enough of the item. Seeds are joined under exact bounds, texts are not read."""
-    shared = found.select("row", F.explode("seeds").alias("seed"))
+def candidates(shared: DataFrame, items: DataFrame) -> DataFrame:
+    """(k1, k2, irow): pairs whose shared seeds cover enough of the item. Seeds are joined under exact bounds, texts are not read."""
     owned = items.select("irow", "need", F.explode(F.arrays_zip("seeds", "gains")).alias("z")).select("irow", "need", F.col("z.seeds").alias("seed"), F.col("z.gains").alias("gain"))
     counted = owned.join(shared.groupBy("seed").agg(F.count("*").alias("df")), "seed")
     # from the commonest on, seeds that together cover less than needed may be left out
     commonest = Window.partitionBy("irow").orderBy(F.desc("df"), "seed").rowsBetween(Window.unboundedPreceding, 0)
     posted = counted.withColumn("sum", F.sum("gain").over(commonest)).filter("sum >= need").select("seed", "irow")
-    met = shared.join(posted, "seed").select("row", "irow").distinct()
-    return met.join(owned, "irow").join(shared, ["row", "seed"]).groupBy("row", "irow").agg(F.sum("gain").alias("sum"), F.first("need").alias("need")).filter("sum >= need").select("row", "irow")
+    met = shared.join(posted, "seed").select("k1", "k2", "irow").distinct()
+    covered = met.join(owned, "irow").join(shared, ["k1", "k2", "seed"]).groupBy("k1", "k2", "irow").agg(F.sum("gain").alias("sum"), F.first("need").alias("need"))
+    return covered.filter("sum >= need").select("k1", "k2", "irow")
 
 
 def judge(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_items, item_id, coverage, contaminated) of every row."""
     items = _items(benchmark, item_col, item_text)
-    found = _found(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), items)
-    pairs = candidates(found, items).join(items.select("irow", "item_id", "item"), "irow").join(found.select("row", "text"), "row").select("row", "item_id", "item", "text")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), "text")
+    found = written(candidates(_shared(docs, items), items), "pairs")
+    texts = docs.select("k1", "k2", "text").join(found.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    pairs = found.join(items.select("irow", "item_id", "item"), "irow").join(texts, ["k1", "k2"]).select("k1", "k2", "item_id", "item", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             share = []
-            for item, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for item, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 (_, x, _), *_ = token_chunks(pa.array([item], pa.string()))
                 (_, y, _), *_ = token_chunks(pa.array([text], pa.string()))
                 share.append(float(tile(x, y).mean()))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(share, pa.float64())], names=["row", "item_id", "coverage"])
+            yield pa.record_batch([*b.columns[:3], pa.array(share, pa.float64())], names=["k1", "k2", "item_id", "coverage"])
+
+    tiled = pairs.mapInArrow(run, "k1 long, k2 long, item_id long, coverage double").filter(F.col("coverage") >= COVERAGE)
+    # written: a join of two scans can split a group of copies, one with an aggregate cannot
+    best = written(tiled.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.struct("coverage", (-F.col("item_id")).alias("i"))).alias("x")), "covered")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [x for _, _, off in token_chunks(b.column(3)) for x in np.diff(off).tolist()] if b.num_rows else []
+            yield pa.record_batch([*b.columns[:3], pa.array(n, pa.int64())], names=["doc_id", "k1", "k2", "n_tokens"])
 
-    tiled = pairs.mapInArrow(run, "row long, item_id long, coverage double").filter(F.col("coverage") >= COVERAGE)
-    best = tiled.groupBy("row").agg(F.count("*").alias("n"), F.max(F.struct("coverage", (-F.col("item_id")).alias("i"))).alias("x"))
-    out = found.select("row", "doc_id", "n_tokens").join(best, "row", "left")
+    out = docs.mapInArrow(count, "doc_id long, k1 long, k2 long, n_tokens long").join(best, ["k1", "k2"], "left")
     return out.select("doc_id", "n_tokens", F.coalesce("n", F.lit(0)).alias("n_items"), (-F.col("x.i")).alias("item_id"), F.coalesce("x.coverage", F.lit(0.0)).alias("coverage"), F.col("n").isNotNull().alias("contaminated"))

@@ -180,10 +180,10 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
     for _ in range(rounds):
         support = graph.select("pattern", "instance").join(sure, "instance").groupBy("pattern", "kind").agg(F.sum("confidence").alias("support"))
         scored = support.filter(F.col("support") >= SUPPORT).join(width, "pattern").withColumn("confidence", F.col("support") / (F.col("width") + 1))
-        patterns = written(scored.filter(F.col("confidence") >= SURE).select("pattern", "kind", "confidence"), "patterns")
+        patterns = scored.filter(F.col("confidence") >= SURE).select("pattern", "kind", "confidence")
         claimed = graph.filter("kind < 0").select("pattern", "instance").join(patterns, "pattern").groupBy("instance", "kind")
         new = claimed.agg((1 - F.exp(F.sum(F.log(1 - 0.9 * F.col("confidence"))))).alias("confidence"))
-        sure = written(seeds.unionByName(new).groupBy("instance", "kind").agg(F.max("confidence").alias("confidence")), "instances")
+        sure = seeds.unionByName(new).groupBy("instance", "kind").agg(F.max("confidence").alias("confidence"))
     return patterns, sure
 
 
