@@ -35,13 +35,14 @@ def forget(spark: SparkSession, since: int) -> None:
     del _MADE[since:-1]
 
 
-def compact(df: DataFrame, total: int, each: int = 16 << 20) -> DataFrame:
+def compact(df: DataFrame, total: int, each: int = 64 << 20) -> DataFrame:
     """df, of about so many bytes, in partitions of a useful size: never fewer than keep all cores busy twice. No shuffle."""
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, total // each))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: texts may be long, and a batch is held whole by a worker."""
+    """Batches of few rows, of Arrow and of the Parquet reader: texts may be long, and a batch is held whole."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
