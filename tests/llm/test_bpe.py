@@ -57,3 +57,15 @@ def test_nulls_repeats_and_empty_tables(spark, frame):
     assert bpe.decode(bpe.encode(frame([]), PATH), PATH).count() == 0
     clash = frame([(1, "hello")]).selectExpr("doc_id", "text", "1 as ids", "2 as decoded", "3 as t")
     assert bpe.encode(clash, PATH).columns == ["doc_id", "ids"]
+
+
+def test_round_trip_is_both_ways_and_the_store_is_bounded(frame, prose, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, t) for i, t in enumerate([*ODD_TEXTS, *(prose(k, 3000, 10**6) for k in range(6)), "é" * 100_000])]
+    want = sorted(map(tuple, bpe.decode(bpe.encode(frame(rows), path), path).collect()))
+    assert sorted(map(tuple, bpe.round_trip(frame(rows), path).collect())) == want
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 1000)
+    one = bpe.WordBpe(path)
+    for i, t in rows:
+        assert one.encode([t])[0] == bytes(want[i][1])
+        assert one.held <= 1000 + 10 * len((t or "").encode())

@@ -27,8 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Words kept merged by a worker; past it the store starts anew.
+#: Words kept merged by a worker, and the bytes of their texts and ids; past either the store starts anew.
 MEMORY_WORDS = 200_000
+MEMORY_BYTES = 16 << 20
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 SPACE = regex.compile(r"\s+")
 
@@ -135,6 +136,7 @@ class WordBpe:
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def pieces(self, text: str) -> list[str]:
         """Stretches between white space, and special tokens, of one text in order.
@@ -179,13 +181,15 @@ class WordBpe:
         flat = ids[np.arange(int(n.sum())) + np.repeat(off[which] - ends + n, n)]
         bounds = np.concatenate([[0], ends[cut], [len(flat)]]) * 4
         raw, at = flat.astype("<u4").tobytes(), bounds.tolist()
+        self.held += len(raw) + sum(map(len, new))
         self.known.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         lists = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > MEMORY_WORDS:
+        if len(self.known) > MEMORY_WORDS or self.held > MEMORY_BYTES:
             self.known.clear()
+            self.held = 0
         if not self.known:
             self.known = {t: int(i).to_bytes(4, "little") for t, i in self.special.items()}
         new = set().union(*lists).difference(self.known)
@@ -216,9 +220,7 @@ def parts_of(column: pa.Array, most: int = 4 << 20) -> Iterator[slice]:
         at = to
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary): each text's ids as little-endian 32-bit integers. No shuffle."""
-
+def _encoder(path: str, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for b in batches:
@@ -228,13 +230,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 ids = bpe.encode(part.column(1).to_pylist())
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
-    schema = T.StructType([df.schema[id_col], T.StructField("ids", T.BinaryType())])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, decoded string) of encoded rows; null ids decode as empty. No shuffle."""
-
+def _decoder(path: str, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for b in batches:
@@ -244,5 +243,23 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
                 text = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.record_batch([part.column(0), part.column(1), text], names=[id_col, "ids", "decoded"])
 
-    schema = T.StructType([df.schema[id_col], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    return df.select(id_col, ids_col).mapInArrow(run, schema)
+    return run
+
+
+_IDS, _DECODED = T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())
+
+
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids binary): each text's ids as little-endian 32-bit integers. No shuffle."""
+    return df.select(id_col, text_col).mapInArrow(_encoder(path, id_col), T.StructType([df.schema[id_col], _IDS]))
+
+
+def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, ids, decoded string) of encoded rows; null ids decode as empty. No shuffle."""
+    return df.select(id_col, ids_col).mapInArrow(_decoder(path, id_col), T.StructType([df.schema[id_col], _IDS, _DECODED]))
+
+
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encoded, then decoded from the ids, as decode(encode(df)) but by one worker a task, which holds one vocabulary."""
+    first, second = _encoder(path, id_col), _decoder(path, id_col)
+    return df.select(id_col, text_col).mapInArrow(lambda batches: second(first(batches)), T.StructType([df.schema[id_col], _IDS, _DECODED]))

@@ -17,8 +17,7 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    ids = bpe.encode(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
-    return bpe.decode(ids, WORD_VOCABULARY).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_VOCABULARY).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
