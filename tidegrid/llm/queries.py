@@ -45,6 +45,13 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(tokenfile.starts(shards), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the id of " the": how often, and its first and last place, by rank and select on the files of operator 4."""
+    small_batches(spark)
+    token = int.from_bytes(tokenfile.byte_bpe(BYTE_VOCABULARY).encode([" the"])[0][:4], "little")
+    return tokenfile.lookup(tokenfile.write(table(spark, sf_dir, "documents"), BYTE_VOCABULARY), token).select("doc_id", "n", "first", "last")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     stored = media.encode(table(spark, sf_dir, "documents"))
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op3_pii": op3_pii,
     "op4_token_file": op4_token_file,
+    "token_lookup": token_lookup,
     "op5_media": op5_media,
     "op6_minhash": op6_minhash,
     "op7_toxicity": op7_toxicity,

@@ -3,9 +3,12 @@
 ``encode`` turns texts into ids with the byte-level vocabulary; ``write`` puts
 the ids of all documents, in ascending document order, into shards.  A shard is
 one compressed payload: bit-planes of its ids, most significant bit first, each
-plane ordered by a stable partition on the plane above.  From that alone
-``WaveletMatrix`` answers access(i), rank(id, i) (occurrences before i), count
-and select(id, k) (place of the k-th occurrence).
+plane ordered by a stable partition on the plane above.  Planes are cut into blocks
+that are compressed one by one; the counts of set bits before each block and before
+each line of a block are stored with them.  From that alone ``WaveletMatrix`` answers
+access(i), rank(id, i) (occurrences before i), count and select(id, k) (place of the
+k-th occurrence), decompressing only the blocks that lie on the way.  ``lookup`` asks
+all shards where an id occurs.
 
 Shards are rows of a Parquet table in the shared folder, so that any executor
 can read what another wrote.  Documents never cross shards; a longer document
@@ -21,12 +24,13 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +42,9 @@ from .textarrays import Chunk, Words, chunks, word_hashes, words
 MAGIC = b"TGWM"
 #: Ids in a shard before it is closed.
 SHARD_TOKENS = 1 << 18
+#: Bytes of a plane in a block, compressed by itself, and in a line of its directory.
+BLOCK_BYTES, LINE_BYTES = 1 << 12, 64
+LINES = BLOCK_BYTES // LINE_BYTES
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -215,12 +222,55 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+class Plane:
+    """One bit-plane in blocks of BLOCK_BYTES, each with its own directory of counts; a block is fetched when it is asked for."""
+
+    def __init__(self, before: np.ndarray, fetch: Callable[[int], bytes]):
+        self.before, self.fetch = before, fetch  # set bits before each block, and in all
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(set bits of the block before each of its lines, its bytes)."""
+        if b not in self.held:
+            raw = self.fetch(b)
+            self.held[b] = np.frombuffer(raw, "<u2", LINES), np.frombuffer(raw, np.uint8, offset=2 * LINES)
+        return self.held[b]
+
+    def bit(self, i: int) -> int:
+        b, i = divmod(i, 8 * BLOCK_BYTES)
+        return int(self.block(b)[1][i >> 3]) >> (7 - (i & 7)) & 1
+
+    def ones(self, i: int) -> int:
+        """Set bits before place i: the counts before its block and before its line, and one partial line."""
+        b, i = divmod(i, 8 * BLOCK_BYTES)
+        if not i:
+            return int(self.before[b])
+        counts, data = self.block(b)
+        line, rest = divmod(i - 1, 8 * LINE_BYTES)
+        part = int.from_bytes(data[line * LINE_BYTES : (i + 7) // 8].tobytes(), "big") >> (-i & 7)
+        return int(self.before[b]) + int(counts[line]) + part.bit_count()
+
+    def place(self, k: int, one: int) -> int:
+        """Place of the k-th (from 0) bit of a value that has so many."""
+        width = 8 * BLOCK_BYTES
+        before = self.before if one else np.arange(len(self.before)) * width - self.before
+        # the last entry counts what the last block lacks too, which no bit asked for lies in
+        b = int(np.searchsorted(before[:-1], k, "right")) - 1
+        counts, data = self.block(b)
+        own = counts.astype(np.int64) if one else np.arange(LINES) * (8 * LINE_BYTES) - counts
+        line = int(np.searchsorted(own, k - before[b], "right")) - 1
+        bits = np.unpackbits(data[line * LINE_BYTES : (line + 1) * LINE_BYTES])
+        return b * width + line * 8 * LINE_BYTES + int(np.flatnonzero(bits == one)[int(k - before[b] - own[line])])
+
+    def all(self) -> np.ndarray:
+        return np.concatenate([self.block(b)[1] for b in range(len(self.before) - 1)])
+
+
 class WaveletMatrix:
     """Bit-planes of a sequence with rank and select."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
+    def __init__(self, planes: list[Plane], zeros: list[int], n: int):
         self.planes, self.zeros, self.n, self.levels = planes, zeros, n, len(planes)
-        self._sums: list[np.ndarray | None] = [None] * len(planes)
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -230,102 +280,138 @@ class WaveletMatrix:
         planes, zeros = [], []
         for level in range(levels - 1, -1, -1):
             bit = (x >> x.dtype.type(level)) & x.dtype.type(1) != 0
-            planes.append(np.packbits(bit))
+            planes.append(_in_blocks(np.packbits(bit)))
             low = x[~bit]
             zeros.append(len(low))
             x = np.concatenate([low, x[bit]])
         return cls(planes, zeros, len(ids))
 
-    def bits(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n).view(bool)
-
     def tokens(self) -> np.ndarray:
         """The whole sequence: undo the partitions from the last plane up."""
         x = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
-        for i in range(self.levels - 1, -1, -1):
-            bit, z = self.bits(i), self.zeros[i]
+        for i in range(self.levels - 1 if self.n else -1, -1, -1):
+            bit, z = np.unpackbits(self.planes[i].all(), count=self.n).view(bool), self.zeros[i]
             up = np.empty_like(x)
             up[~bit] = x[:z]
             up[bit] = x[z:] | x.dtype.type(1 << (self.levels - 1 - i))
             x = up
         return x
 
-    def ones(self, level: int, i: int) -> int:
-        """Set bits before place i of a plane: a directory of byte sums and one partial byte."""
-        if self._sums[level] is None:
-            self._sums[level] = np.concatenate([[0], np.cumsum(np.bitwise_count(self.planes[level]), dtype=np.int64)])
-        byte, rest = divmod(i, 8)
-        part = int(self.planes[level][byte]) >> (8 - rest) if rest else 0
-        return int(self._sums[level][byte]) + part.bit_count()
-
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level in range(self.levels):
-            one = self.planes[level][i >> 3] >> (7 - (i & 7)) & 1
-            ones = self.ones(level, i)
-            i = self.zeros[level] + ones if one else i - ones
-            value = value << 1 | int(one)
+        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+            one, ones = plane.bit(i), plane.ones(i)
+            i = zeros + ones if one else i - ones
+            value = value << 1 | one
         return value
 
-    def rank(self, token: int, i: int) -> int:
-        """Occurrences of token before place i."""
-        if token >> self.levels:
-            return 0
-        lo, hi = 0, min(i, self.n)
-        for level in range(self.levels):
-            a, b = self.ones(level, lo), self.ones(level, hi)
+    def span(self, token: int, i: int) -> tuple[int, int]:
+        """Where the occurrences of token before place i stand below the last plane."""
+        lo, hi = 0, max(0, min(i, self.n))
+        if token < 0 or token >> self.levels:
+            return 0, 0
+        for level, (plane, zeros) in enumerate(zip(self.planes, self.zeros, strict=True)):
+            if lo == hi:
+                break
+            a, b = plane.ones(lo), plane.ones(hi)
             if token >> (self.levels - 1 - level) & 1:
-                lo, hi = self.zeros[level] + a, self.zeros[level] + b
+                lo, hi = zeros + a, zeros + b
             else:
                 lo, hi = lo - a, hi - b
+        return lo, hi
+
+    def rank(self, token: int, i: int) -> int:
+        """Occurrences of token before place i."""
+        lo, hi = self.span(token, i)
         return hi - lo
 
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
     def select(self, token: int, k: int) -> int:
-        """Place of the k-th (from 0) occurrence of token; -1 if there are fewer."""
-        if not 0 <= k < self.count(token):
+        """Place of the k-th (from 0) occurrence of token; -1 if there are fewer. One walk down the planes and one up."""
+        lo, hi = self.span(token, self.n)
+        if not 0 <= k < hi - lo:
             return -1
-        lo, hi = 0, self.n - 1
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self.rank(token, mid + 1) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        at = lo + k
+        for level in range(self.levels - 1, -1, -1):
+            one = token >> (self.levels - 1 - level) & 1
+            at = self.planes[level].place(at - self.zeros[level] if one else at, one)
+        return at
+
+
+def _in_blocks(data: np.ndarray) -> Plane:
+    """A plane and its directories."""
+    n = -(-len(data) // BLOCK_BYTES)
+    whole = np.zeros(n * BLOCK_BYTES, np.uint8)
+    whole[: len(data)] = data
+    lines = np.bitwise_count(whole.view("<u8")).reshape(n, LINES, LINE_BYTES // 8).sum(2, dtype=np.int64)
+    sums = np.cumsum(lines, 1)
+    counts = (sums - lines).astype("<u2")
+    before = np.concatenate([[0], np.cumsum(sums[:, -1])]) if n else np.zeros(1, np.int64)
+    blocks = whole.reshape(n, BLOCK_BYTES)
+    return Plane(before, lambda b: counts[b].tobytes() + blocks[b].tobytes())
+
+
+#: Magic, documents, ids, planes, blocks of a plane, bytes of the documents' part, its crc32; then crc32 of these and the index.
+HEADER = struct.Struct("<4sIIHIII")
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard's payload: checked header, documents, planes."""
+    """A shard's payload: header, index of the blocks, documents, blocks.
+
+    The index holds the zeros of each plane and, for each block, the set bits before it, where it ends and its crc32.
+    """
     wm = WaveletMatrix.build(ids)
+    squeeze = zstandard.ZstdCompressor(1).compress
     nulls = np.array([d is None for d in doc_ids], bool)
     docs = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    body = docs.tobytes() + np.packbits(nulls).tobytes() + lengths.astype("<u4").tobytes()
-    body += np.array(wm.zeros, "<u4").tobytes() + b"".join(p.tobytes() for p in wm.planes)
-    return struct.pack("<4sIIHI", MAGIC, len(doc_ids), wm.n, wm.levels, zlib.crc32(body)) + zlib.compress(body, 1)
+    about = squeeze(docs.tobytes() + np.packbits(nulls).tobytes() + lengths.astype("<u4").tobytes())
+    per_plane = len(wm.planes[0].before) - 1
+    blocks = [squeeze(p.fetch(b)) for p in wm.planes for b in range(per_plane)]
+    index = np.array(wm.zeros, "<u4").tobytes() + np.array([p.before for p in wm.planes], "<u4").tobytes()
+    index += np.cumsum([0, *map(len, blocks)]).astype("<u4").tobytes() + np.array([*map(zlib.crc32, blocks)], "<u4").tobytes()
+    head = HEADER.pack(MAGIC, len(doc_ids), wm.n, wm.levels, per_plane, len(about), zlib.crc32(about))
+    return head + struct.pack("<I", zlib.crc32(head + index)) + index + about + b"".join(blocks)
+
+
+def _checked(raw: memoryview, crc: int) -> memoryview:
+    if zlib.crc32(raw) != crc:
+        raise ValueError("a damaged token shard")
+    return raw
 
 
 def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    magic, n_docs, n, levels, crc = struct.unpack_from("<4sIIHI", payload)
-    body = zlib.decompress(memoryview(payload)[18:])
-    if magic != MAGIC or zlib.crc32(body) != crc:
-        raise ValueError("not a token shard, or a damaged one")
-    at = 8 * n_docs
-    docs = np.frombuffer(body, "<i8", n_docs)
+    """Documents, their lengths and the matrix, of which blocks are decompressed as they are asked for."""
+    if len(payload) < HEADER.size + 4 or payload[:4] != MAGIC:
+        raise ValueError("not a token shard")
+    view = memoryview(payload)
+    _, n_docs, n, levels, per_plane, size, docs_crc = HEADER.unpack_from(payload)
+    total = levels * per_plane
+    since = HEADER.size + 4
+    at = since + 4 * (levels + levels * (per_plane + 1) + total + 1 + total)
+    if zlib.crc32(view[since:at], zlib.crc32(view[: HEADER.size])) != struct.unpack_from("<I", payload, HEADER.size)[0]:
+        raise ValueError("a damaged token shard")
+    index = np.frombuffer(view[since:at], "<u4").astype(np.int64)
+    zeros, before, ends, crcs = np.split(index, np.cumsum([levels, levels * (per_plane + 1), total + 1]))
+    expand = zstandard.ZstdDecompressor().decompress
+    body = expand(_checked(view[at : at + size], docs_crc))
     bits = (n_docs + 7) // 8
-    nulls = np.unpackbits(np.frombuffer(body, np.uint8, bits, at), count=n_docs).astype(bool)
-    at += bits
-    lengths = np.frombuffer(body, "<u4", n_docs, at).astype(np.int64)
-    at += 4 * n_docs
-    zeros = np.frombuffer(body, "<u4", levels, at).tolist()
-    at += 4 * levels
-    size = (n + 7) // 8
-    planes = [np.frombuffer(body, np.uint8, size, at + size * i) for i in range(levels)]
-    return [None if z else int(d) for d, z in zip(docs, nulls, strict=True)], lengths, WaveletMatrix(planes, zeros, n)
+    docs = np.frombuffer(body, "<i8", n_docs)
+    nulls = np.unpackbits(np.frombuffer(body, np.uint8, bits, 8 * n_docs), count=n_docs).astype(bool)
+    lengths = np.frombuffer(body, "<u4", n_docs, 8 * n_docs + bits).astype(np.int64)
+    blocks = view[at + size :]
+
+    def plane(level: int) -> Plane:
+        def fetch(b: int) -> bytes:
+            i = level * per_plane + b
+            return expand(_checked(blocks[ends[i] : ends[i + 1]], int(crcs[i])))
+
+        return Plane(before[level * (per_plane + 1) : (level + 1) * (per_plane + 1)], fetch)
+
+    return [None if z else int(d) for d, z in zip(docs, nulls, strict=True)], lengths, WaveletMatrix([plane(i) for i in range(levels)], zeros.tolist(), n)
 
 
 SHARDS = "part int, seq int, n_docs int, n_tokens long, payload binary"
@@ -406,3 +492,31 @@ def read(shards: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(docs, pa.int64()), pa.array(off[:-1]), pa.array(lengths), data], names=["part", "seq", "doc_id", "local", "n_tokens", "ids"])
 
     return shards.select("part", "seq", "payload").mapInArrow(run, READ)
+
+
+FOUND = "part int, seq int, doc_id long, n long, first long, last long"
+
+
+def lookup(shards: DataFrame, token: int) -> DataFrame:
+    """(part, seq, doc_id, n, first, last): documents that have the id, how often, and its first and last place in them.
+
+    By rank and select on the stored planes: no document is decoded, and a shard without the id costs a few blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        for b in batches:
+            for part, seq, payload in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                docs, lengths, wm = unpack(payload)
+                ends, rows, k, total = np.cumsum(lengths), [], 0, wm.count(token)
+                while k < total:
+                    first = wm.select(token, k)
+                    i = int(np.searchsorted(ends, first, "right"))
+                    start, upto = int(ends[i] - lengths[i]), wm.rank(token, int(ends[i]))
+                    rows.append((part, seq, docs[i], upto - k, first - start, wm.select(token, upto - 1) - start))
+                    k = upto
+                cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+                kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    return shards.select("part", "seq", "payload").mapInArrow(run, FOUND)
