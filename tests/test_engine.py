@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.errors import BadData, LimitExceeded, Timeout
 from tidegrid.model import identified, series_of
-from tidegrid.operators import rollup
+from tidegrid.operators import rollup, windows
 from tidegrid.plans.engine import Engine, Options, Store
 
 from . import brute
@@ -82,6 +82,14 @@ def test_range_functions(engine, noisy, name, window, offset):
     same(got, want)
 
 
+@pytest.mark.parametrize("name", ["irate", "rate", "increase", "delta"])
+def test_cells_of_time_change_nothing(engine, noisy, name, monkeypatch):
+    monkeypatch.setattr(windows, "CELL_WINDOWS", 1)  # a cut in every window
+    got = points(engine.query_range(f"{name}(m[5m])", *GRID))
+    want = {(k, ts): brute.over_time(name, s, ts - 300_000, ts) for k, s in noisy.items() for ts in steps(*GRID)}
+    same(got, {(tuple(p for p in k if p[0] != "__name__"), ts): v for (k, ts), v in want.items() if v is not None})
+
+
 def last_values(noisy, ts, w=300_000):
     out = {k: brute.over_time("last_over_time", s, ts - w, ts) for k, s in noisy.items()}
     return {k: v for k, v in out.items() if v is not None}

@@ -86,13 +86,27 @@ def _single(name: str) -> Column:
     }[name]
 
 
-def _lagged(samples: DataFrame) -> DataFrame:
-    w = Window.partitionBy("sid").orderBy("t")
-    return samples.select("sid", "t", "v", F.lag("v").over(w).alias("pv"), F.lag("t").over(w).alias("pt"))
+#: Windows to a cell of time; a long series is as many groups as it has cells.
+CELL_WINDOWS = 16
+
+
+def _lagged(samples: DataFrame, w: int) -> DataFrame:
+    """Each sample with the one before it in its series, if that is less than w older.
+
+    An older one shares no window with the sample, and is left out.  So a series is cut into cells of time, and
+    only the samples of a cell's last w go to the next cell as well.
+    """
+    size = w * CELL_WINDOWS
+    own = floor_div(F.col("t"), size)
+    cells = F.when(F.pmod(F.col("t"), F.lit(size)) >= size - w, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = samples.select("sid", "t", "v", F.explode(cells).alias("_cell"))
+    before = Window.partitionBy("sid", "_cell").orderBy("t")
+    lagged = rows.select("sid", "t", "v", "_cell", F.lag("v").over(before).alias("pv"), F.lag("t").over(before).alias("pt"))
+    return lagged.filter(F.col("_cell") == own).drop("_cell")
 
 
 def _irate(samples: DataFrame, w: int, offset: int, grid: Grid) -> DataFrame:
-    rows = expand(_lagged(samples), first_step(F.col("t"), grid, offset), last_step(F.col("t"), grid, offset, w), grid)
+    rows = expand(_lagged(samples, w), first_step(F.col("t"), grid, offset), last_step(F.col("t"), grid, offset, w), grid)
     last = rows.groupBy("sid", "step_ts").agg(F.max(F.struct("t", "v", "pv", "pt")).alias("x"))
     inside = F.col("x.pt") > F.col("step_ts") - (w + offset)
     v, pv = F.col("x.v"), F.col("x.pv")
@@ -105,7 +119,7 @@ def _rates(samples: DataFrame, name: str, w: int, offset: int, grid: Grid) -> Da
     """Extrapolated rate, increase and delta from mergeable counts, ends and drops."""
     counter = name != "delta"
     drop = F.when(F.col("pv").isNotNull() & ieee.COMPARE["<"](F.col("v"), F.col("pv")), F.col("pv")).otherwise(F.lit(0.0))
-    rows = _lagged(samples).select("sid", "t", "v", "pt", drop.alias("d"))
+    rows = _lagged(samples, w).select("sid", "t", "v", "pt", drop.alias("d"))
     opens = F.col("step_ts") - (w + offset)
     if bucketed(w, grid):
         bucket = lambda t: floor_div(F.col(t) + (offset - grid.start + grid.step - 1), grid.step)
