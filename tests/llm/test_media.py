@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 
@@ -44,14 +45,20 @@ def test_round_trip_of_each_written_filter(kind):
     assert (media.png_decode(png) == x).all() and by_hand(png) == x.tobytes()
 
 
-def test_all_filters_mixed():
+@pytest.mark.parametrize("kinds", [[0, 1, 2, 3, 4], [3, 4], [3], [4]])
+def test_all_filters_mixed(kinds):
     r = np.random.default_rng(3)
     lines = r.integers(0, 256, (40, 12)).astype(np.uint8)
-    lines[:, 0] = r.integers(0, 5, 40)
+    lines[:, 0] = r.choice(kinds, 40)
     png = media.SIGNATURE + media._chunk(b"IHDR", struct.pack(">IIBBBBB", 11, 40, 8, 0, 0, 0, 0)) + media._chunk(b"IDAT", zlib.compress(lines.tobytes())) + media._chunk(b"IEND", b"")
     assert media.png_decode(png).tobytes() == by_hand(png)
 
 
+def test_an_unknown_filter_is_an_error():
+    with pytest.raises(ValueError):
+        media.unfilter(np.array([0, 5], np.uint8), np.zeros((2, 4), np.uint8))
+
+
 def test_damage_is_found():
     png = media.png_encode(np.zeros((2, 64), np.uint8))
     for bad in (b"GIF" + png[3:], png[:-3], png[:20] + b"\xff" + png[21:], png[:-12]):
@@ -71,6 +78,34 @@ def test_query_round_trip(spark, documents):
     assert all(len(x) == 1 for x in same.values())
 
 
+def plain_hash(x):
+    """The definition, sample by sample: means of 32 x 32 cells (or the sample they fall on), cosine sums, the median."""
+    rows, cols = x.shape
+
+    def part(i, n):
+        a = i * n // 32
+        return range(a, max(a + 1, (i + 1) * n // 32))
+
+    small = [[np.mean([[x[r, c] for c in part(j, cols)] for r in part(i, rows)]) for j in range(32)] for i in range(32)]
+    cos = [[math.cos(math.pi / 32 * (i + 0.5) * u) for i in range(32)] for u in range(8)]
+    low = [round(sum(cos[u][i] * cos[v][j] * small[i][j] for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    return "".join("1" if z > np.median(low[1:]) else "0" for z in low)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 31, 32, 33, 100])
+def test_hash_is_the_definition(rows):
+    x = np.random.default_rng(rows).integers(0, 256, (rows, 64)).astype(np.uint8)
+    assert f"{int(media.cosine_hash(x), 16):064b}" == plain_hash(x)
+
+
+def test_query_features_are_the_definition(spark, documents):
+    rows = {r.doc_id: r.feature for r in queries.op5_media(spark, SMALL).collect()}
+    for d in documents[::20]:
+        raw = (d["text"] or "").encode()
+        x = np.frombuffer(raw + bytes(-len(raw) % 64 or (0 if raw else 64)), np.uint8).reshape(-1, 64)
+        assert f"{int(rows[d['doc_id']], 16):064b}" == plain_hash(x)
+
+
 def test_hash_is_close_for_like_pictures():
     coarse = np.random.default_rng(7).integers(60, 196, (8, 8))
     a = np.kron(coarse, np.ones((8, 8))).astype(np.uint8)  # energy in all low frequencies

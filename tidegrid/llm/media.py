@@ -65,18 +65,29 @@ def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 12 + n
 
 
-def _paeth(a: int, b: int, c: int) -> int:
-    p = a + b - c
-    pa_, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-    return a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
+def _undo_predicted(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Lines of filters average (3) and Paeth (4): a sample needs those left, above and left above, so a diagonal is undone at once."""
+    rows, cols = lines.shape
+    known = np.zeros((rows + 1, cols + 1), np.int32)  # a line above and a column of zeros
+    known[0, 1:] = above
+    for d in range(rows + cols - 1):
+        r = np.arange(max(0, d - cols + 1), min(rows, d + 1))
+        c = d - r
+        left, up, corner = known[r + 1, c], known[r, c + 1], known[r, c]
+        to_left, to_up, to_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        known[r + 1, c + 1] = (lines[r, c] + np.where(kinds[r] == 3, (left + up) >> 1, paeth)) & 255
+    return known[1:, 1:].astype(np.uint8)
 
 
 def unfilter(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Undo the PNG line filters; runs of equal none, sub and up lines at once."""
+    """Undo the PNG line filters, of a run of lines at once: equal filters none, sub or up, or any of average and Paeth."""
     if not kinds.any():
         return lines
     out = lines.copy()
-    cuts = np.flatnonzero(np.diff(kinds)) + 1
+    cuts = np.flatnonzero(np.diff(np.minimum(kinds, 3))) + 1
+    if kinds.max() > 4:
+        raise ValueError(f"unknown PNG filter {kinds.max()}")
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(kinds)], strict=True):
         kind = int(kinds[a])
         if kind == 1:
@@ -85,17 +96,8 @@ def unfilter(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
             if a:
                 out[a] += out[a - 1]
             out[a:b] = np.cumsum(out[a:b], axis=0, dtype=np.uint8)
-        elif kind in (3, 4):
-            for r in range(a, b):
-                above = out[r - 1].tolist() if r else [0] * out.shape[1]
-                row, left, corner = out[r].tolist(), 0, 0
-                for i, up in enumerate(above):
-                    guess = (left + up) // 2 if kind == 3 else _paeth(left, up, corner)
-                    row[i] = left = (row[i] + guess) & 255
-                    corner = up
-                out[r] = row
         elif kind:
-            raise ValueError(f"unknown PNG filter {kind}")
+            out[a:b] = _undo_predicted(kinds[a:b], lines[a:b], out[a - 1] if a else np.zeros(out.shape[1], np.uint8))
     return out
 
 
