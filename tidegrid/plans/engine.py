@@ -62,6 +62,23 @@ class Result:
     def ordered(self) -> DataFrame:
         return self.frame.orderBy("label_key", "sid", "step_ts") if self.kind != "scalar" else self.frame.orderBy("step_ts")
 
+    def placed(self, path: str) -> DataFrame:
+        """The points with their ``place`` in the order, from 0 on.
+
+        The sorted points are stored at path with their part of the order and their number in it, since another
+        sort may cut elsewhere; only a count of each part reaches the driver.
+        """
+        nth = F.monotonically_increasing_id()
+        self.ordered().withColumn("_nth", nth).write.parquet(path)
+        stored = self.frame.sparkSession.read.parquet(path)
+        part = F.shiftright("_nth", 33)
+        before, starts = 0, []
+        for p, n in sorted(map(tuple, stored.groupBy(part).count().collect())):
+            starts.append((p, before - (p << 33)))
+            before += n
+        shift = self.frame.sparkSession.createDataFrame(starts, "_part long, _shift long")
+        return stored.withColumn("_part", part).join(F.broadcast(shift), "_part").withColumn("place", F.col("_nth") + F.col("_shift")).drop("_nth", "_part", "_shift")
+
 
 @dataclass
 class Engine:

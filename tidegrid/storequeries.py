@@ -169,9 +169,9 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of points in a result's order: by labels, then by time."""
     e = engine(spark, sf_dir, lookback=6 * HOUR)
-    rows = e.query_range('events_value{event_type="click"}', *whole(spark, sf_dir, fixtures.EVENTS), STEP).ordered().toLocalIterator()
-    out = [(i, dict((x["key"], x["value"]) for x in r["label_key"])["user_id"], r["step_ts"], r["v"]) for i, r in enumerate(rows)]
-    return spark.createDataFrame(out, "place long, user_id string, ts long, v double")
+    result = e.query_range('events_value{event_type="click"}', *whole(spark, sf_dir, fixtures.EVENTS), STEP)
+    placed = result.placed(f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}")
+    return placed.select("place", label(F.col("label_key"), "user_id").alias("user_id"), F.col("step_ts").alias("ts"), "v")
 
 
 def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
