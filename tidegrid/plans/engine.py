@@ -38,11 +38,14 @@ class Store:
 
     ``scan(lo, hi)`` gives samples (sid, t, v) with lo <= t <= hi, so that a source can push
     the range into its files; ``rollups`` is (sid, e, mn, mx, sm, cnt, la) or None.
+    ``size()`` gives the number of samples and about that of series, both of the whole source;
+    without it, Spark alone decides how many tasks a query has.
     """
 
     series: DataFrame
     scan: Callable[[int, int], DataFrame]
     rollups: DataFrame | None = None
+    size: Callable[[], tuple[int, int]] | None = None
 
     @classmethod
     def of(cls, samples: DataFrame, series: DataFrame, rollups: DataFrame | None = None) -> Store:
@@ -141,6 +144,10 @@ class Engine:
             raise Timeout(f"no answer within {seconds} s")
 
 
+#: Samples to a task: its hash tables and sorts hold the steps of so many samples, however many there are in all.
+TASK_SAMPLES = 100_000
+
+
 class Evaluation:
     def __init__(self, engine: Engine, grid: Grid, mode: str):
         if mode not in ROLLUP_MODES:
@@ -148,6 +155,7 @@ class Evaluation:
         self.spark, self.store, self.options, self.grid, self.mode = engine.spark, engine.store, engine.options, grid, ROLLUP_MODES[mode]
         self.used_rollup = False
         self.charged: set[tuple] = set()
+        self.tasks: int | None = None
 
     def run(self, tree: object, kind: str) -> Result:
         out = self.eval(tree)
@@ -191,10 +199,29 @@ class Evaluation:
         """(samples, series) of a selector over the grid: labels are matched in the small table, which then restricts the samples."""
         series = select_series(self.store.series, s.matchers)
         lo, hi = self.bounds(s, window)
-        samples = self.store.scan(lo, hi).join(series.select("sid"), "sid", "left_semi")
+        samples = self.selected(self.store.scan(lo, hi), series)
         self.charge(s, window, series, samples)
         return samples, series
 
+    def selected(self, rows: DataFrame, series: DataFrame) -> DataFrame:
+        """Rows of these series; of a large source by series, in as many tasks as there are TASK_SAMPLES.
+
+        All that follows up to the labels is grouped by series, so it runs in these tasks.  Left alone, Spark makes as
+        few as there are cores, and each grows with the input.  Few series make few groups, and would make long tasks:
+        they are left alone.
+        """
+        ids = series.select("sid")
+        if self.tasks is None:
+            samples, known = self.store.size() if self.store.size is not None else (0, 0)
+            # more than Spark's own: with fewer the join with labels would move all points again, and with as many
+            # Spark would keep the partitions that the ids have, and merge them
+            tasks = max(-(-samples // TASK_SAMPLES), int(self.spark.conf.get("spark.sql.shuffle.partitions")) + 1)
+            self.tasks = tasks if samples > TASK_SAMPLES * self.spark.sparkContext.defaultParallelism and known >= 4 * tasks else 0
+        if self.tasks:
+            # the join moves the rows to where the ids are: they travel once
+            ids = ids.repartition(self.tasks, "sid").hint("shuffle_hash")
+        return rows.join(ids, "sid", "left_semi")
+
     def charge(self, s: q.Selector, window: int, series: DataFrame, samples: DataFrame) -> None:
         """Limits are counted once for each distinct selection, by jobs over the dimension and the pruned scan."""
         key = (s.matchers, s.offset, window)
@@ -223,9 +250,9 @@ class Evaluation:
         raw = None
         if edges:
             held = self.store.scan(lo, hi).filter(reduce(or_, [F.col("t").between(a, b) for a, b in edges]))
-            raw = held.join(series.select("sid"), "sid", "left_semi")
+            raw = self.selected(held, series)
             self.charge(s, s.range, series, raw)
-        buckets = self.store.rollups.filter(F.col("e").between(lo, hi)).join(series.select("sid"), "sid", "left_semi")
+        buckets = self.selected(self.store.rollups.filter(F.col("e").between(lo, hi)), series)
         self.used_rollup = True
         out = Vector(rollup.over_time(raw, buckets, name, s.range, s.offset, self.grid), series)
         return out if keep_name else out.nameless()

@@ -35,6 +35,11 @@ class Metric:
         """Distinct label columns first: labels are built and hashed once a series."""
         return series_of(identified(self.rows(spark, sf_dir).select(*[c for _, c in self.labels], *([self.named] if self.named else [])).distinct().select(self.map().alias("labels"))))
 
+    def size(self, spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+        """Number of rows and, about, of series."""
+        labels = [c for _, c in self.labels] + ([self.named] if self.named else [])
+        return tuple(self.rows(spark, sf_dir).agg(F.count("*"), F.approx_count_distinct(F.struct(*labels))).first())
+
     def samples(self, spark: SparkSession, sf_dir: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
         """(sid, t, v); the range is also put on the stored column, where Parquet statistics can use it."""
         rows = self.rows(spark, sf_dir)
@@ -65,4 +70,8 @@ def store(spark: SparkSession, sf_dir: str, *metrics: Metric, rollups: DataFrame
             out = out.unionByName(m.samples(spark, sf_dir, lo, hi))
         return out
 
-    return Store(series, scan, rollups)
+    def size() -> tuple[int, int]:
+        sizes = [m.size(spark, sf_dir) for m in metrics]
+        return sum(n for n, _ in sizes), sum(n for _, n in sizes)
+
+    return Store(series, scan, rollups, size)

@@ -104,8 +104,14 @@ class Storage:
         rows = self._read("samples", SAMPLES).filter(F.col("block").between(lo - self.block, hi) & F.col("t").between(lo, hi))
         return rows.groupBy("sid", "t").agg(F.min_by("v", F.struct("batch", "seq")).alias("v"))
 
+    def size(self) -> tuple[int, int]:
+        """Number of stored samples (repeated ones counted again), or of rollups if those are more, and about that of series."""
+        samples, series = self._read("samples", SAMPLES).agg(F.count("*"), F.approx_count_distinct("sid")).first()
+        rolled, of = self._read("rollup_5m", ROLLUPS).agg(F.count("*"), F.approx_count_distinct("sid")).first()
+        return max(samples, rolled), max(series, of)
+
     def store(self) -> Store:
-        return Store(self.series(), self.scan, self.rollups())
+        return Store(self.series(), self.scan, self.rollups(), self.size)
 
     def append(self, rows: DataFrame, batch: int) -> None:
         """Store (labels, t, v, seq) rows; writing the same batch again replaces it."""
