@@ -71,6 +71,13 @@ def round_to(v: Column, to: Column) -> Column:
     return floor(div(v, to) + 0.5) * to
 
 
+def round_digits(v: Column, digits: int) -> Column:
+    """Halves away from zero, of the product in floating point as databases do it; Spark's round() goes by the printed digits."""
+    scale = float(10**digits)
+    out = F.round(v * scale, 0) / scale
+    return F.when(F.isnan(out) | (F.abs(out) == inf()), v).otherwise(out)
+
+
 def clamp_min(v: Column, lo: Column) -> Column:
     return F.when(F.isnan(v) | F.isnan(lo), nan()).otherwise(F.greatest(v, lo))
 

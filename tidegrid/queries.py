@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import ieee
 from .model import SAMPLES, label
 from .operators import admission, diff, metadata, rollup
 from .plans.engine import Engine, Options, Result
@@ -36,7 +37,7 @@ def engine(spark: SparkSession, sf_dir: str, *metrics: fixtures.Metric, rollups:
 
 def flat(result: Result, labels: tuple[str, ...], digits: int | None = None) -> DataFrame:
     """Labels as columns, ts and v."""
-    v = F.col("v") if digits is None else F.round("v", digits)
+    v = F.col("v") if digits is None else ieee.round_digits(F.col("v"), digits)
     cols = [] if result.kind == "scalar" else [label(F.col("label_key"), n).alias(n) for n in labels]
     return result.frame.select(*cols, F.col("step_ts").alias("ts"), v.alias("v"))
 
