@@ -25,9 +25,14 @@ def bucket_end(t: Column, res: int = RESOLUTION) -> Column:
 
 def build(samples: DataFrame, res: int = RESOLUTION) -> DataFrame:
     """(sid, e, mn, mx, sm, cnt, la): one row a series and bucket."""
+    return reduced(samples.select("sid", bucket_end(F.col("t"), res).alias("e"), "t", "v"), "sid", "e")
+
+
+def reduced(rows: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, mn, mx, sm, cnt, la) of samples (*keys, t, v)."""
     v = F.col("v")
     last = F.max(F.struct("t", "v"))["v"]
-    return samples.groupBy("sid", bucket_end(F.col("t"), res).alias("e")).agg(ieee.agg_min(v).alias("mn"), ieee.agg_max(v).alias("mx"), F.sum("v").alias("sm"), F.count("*").alias("cnt"), last.alias("la"))
+    return rows.groupBy(*keys).agg(ieee.agg_min(v).alias("mn"), ieee.agg_max(v).alias("mx"), F.sum("v").alias("sm"), F.count("*").alias("cnt"), last.alias("la"))
 
 
 def applies(name: str, w: int, grid: Grid, mode: str, res: int = RESOLUTION) -> bool:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .errors import BadData, LimitExceeded, Unavailable
 from .model import SERIES, identified, series_of
 from .operators import admission, rollup
+from .plans import engine
 from .plans.engine import Store
 
 DAY = 86_400_000
@@ -99,10 +100,12 @@ class Storage:
         rows = self._read("samples", SAMPLES)
         return rows.groupBy("sid", "t", "block").agg(F.min_by("v", F.struct("batch", "seq")).alias("v"))
 
+    def _near(self, lo: int, hi: int) -> DataFrame:
+        return self._read("samples", SAMPLES).filter(F.col("block").between(lo - self.block, hi) & F.col("t").between(lo, hi))
+
     def scan(self, lo: int, hi: int) -> DataFrame:
         """Samples with lo <= t <= hi: days are pruned, and the range reaches the Parquet scan."""
-        rows = self._read("samples", SAMPLES).filter(F.col("block").between(lo - self.block, hi) & F.col("t").between(lo, hi))
-        return rows.groupBy("sid", "t").agg(F.min_by("v", F.struct("batch", "seq")).alias("v"))
+        return self._near(lo, hi).groupBy("sid", "t").agg(F.min_by("v", F.struct("batch", "seq")).alias("v"))
 
     def size(self) -> tuple[int, int]:
         """Number of stored samples (repeated ones counted again), or of rollups if those are more, and about that of series."""
@@ -118,9 +121,14 @@ class Storage:
         known = identified(rows)
         block = F.col("t") - F.pmod(F.col("t"), F.lit(self.block))
         out = known.select("sid", "t", "v", "seq", block.alias("block"), F.lit(batch).cast("long").alias("batch"))
+        tasks = self._tasks(rows.count())
+        tasks = tasks if tasks > self.spark.sparkContext.defaultParallelism else 0
         # a day's rows of a batch meet in few files
-        self._overwrite(out.repartition("block", F.pmod("sid", F.lit(16))), "samples", ["block", "batch"])
-        new = series_of(known).join(self.series().select("sid"), "sid", "left_anti") if self._exists("series") else series_of(known)
+        dealt = out.repartitionByRange(tasks, "block", "sid", "t") if tasks else out.repartition("block", F.pmod("sid", F.lit(16)))
+        self._overwrite(dealt, "samples", ["block", "batch"])
+        # each task's own series first, by hash: labels of all samples are neither sorted nor sent (a mere distinct is optimized away)
+        own = series_of(known.groupBy("sid", "label_key").agg(F.count("*").alias("n")).filter("n > 0"))
+        new = own.join(self.series().select("sid"), "sid", "left_anti") if self._exists("series") else own
         self._overwrite(new.withColumn("batch", F.lit(batch).cast("long")), "series", ["batch"])
 
     def write(self, rows: DataFrame, batch: int, window: int = 600_000, min_valid: int | None = None, most_series: int | None = None) -> Written:
@@ -154,42 +162,52 @@ class Storage:
                     if s.getPath().getName().startswith((".spark-staging", "_temporary")):
                         fs.delete(s.getPath(), True)
 
+    def _tasks(self, samples: int) -> int:
+        return -(-samples // engine.TASK_SAMPLES)
+
     def _overwrite(self, rows: DataFrame, table: str, by: list[str]) -> None:
         rows.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(self._at(table))
 
     def compact(self, *blocks: int, files: int = 8) -> None:
         """One sorted batch of each day in place of all, and the days' rollups; without blocks, every day of several batches.
 
-        The new batch is written before the old ones go; a reader in between sees equal
-        rows twice, which reading drops.
+        Each step has ``files`` tasks at least, and one for each TASK_SAMPLES, cut in order of days and series.  The
+        new batch is written before the old ones go; a reader in between sees equal rows twice, which reading drops.
         """
         old = {day: [b for b in self._folders("samples", f"block={day}") if b != COMPACTED] for day in blocks or self.blocks()}
         days = sorted(day for day, batches in old.items() if batches)
         if not days:
             return
         rows = self._read("samples", SAMPLES).filter(F.col("block").isin(days))
-        first = rows.groupBy("block", "sid", "t").agg(F.min_by(F.struct("v", "seq"), F.struct("batch", "seq")).alias("x"))
+        files = max(files, self._tasks(rows.count()))
+        # grouped where they were cut
+        first = rows.repartitionByRange(files, "block", "sid", "t").groupBy("block", "sid", "t").agg(F.min_by(F.struct("v", "seq"), F.struct("batch", "seq")).alias("x"))
         whole = first.select("sid", "t", "x.v", "x.seq", "block", F.lit(COMPACTED).cast("long").alias("batch"))
         # the old compacted batch is among what is read: the new one is made elsewhere first
         made = self._at("making", str(days[0]))
-        whole.repartitionByRange(files, "block", "sid").sortWithinPartitions("block", "sid", "t").write.mode("overwrite").option("compression", "zstd").parquet(made)
+        whole.sortWithinPartitions("block", "sid", "t").write.mode("overwrite").option("compression", "zstd").parquet(made)
         ready = self.spark.read.schema(SAMPLES).parquet(made)
-        self._overwrite(ready, "samples", ["block", "batch"])
+        self._overwrite(ready.repartitionByRange(files, "block", "sid", "t").sortWithinPartitions("block", "batch", "sid", "t"), "samples", ["block", "batch"])
         for day in days:
             for batch in old[day]:
                 self._remove("samples", f"block={day}", f"batch={batch}")
-        self._overwrite(self._rolled(days).repartition(files, "block"), "rollup_5m", ["block"])
+        self._overwrite(self._rolled(days, files), "rollup_5m", ["block"])
         self._remove("making")
 
     def _ends(self, days: list[int]) -> list[int]:
         """Days that hold the ends of the buckets of these days' samples: the last bucket ends where the next day starts."""
         return sorted({d for day in days for d in (day, day + self.block)})
 
-    def _rolled(self, days: list[int]) -> DataFrame:
-        """Buckets that end in the days of ``_ends``, from raw samples."""
+    def _rolled(self, days: list[int], tasks: int | None = None) -> DataFrame:
+        """Buckets that end in the days of ``_ends``, from raw samples; in so many tasks, or as Spark decides."""
         ends = self._ends(days)
-        near = self.scan(ends[0] - rollup.RESOLUTION + 1, ends[-1] + self.block - 1)
-        return rollup.build(near).withColumn("block", F.col("e") - F.pmod("e", F.lit(self.block))).filter(F.col("block").isin(ends))
+        near = self._near(ends[0] - rollup.RESOLUTION + 1, ends[-1] + self.block - 1)
+        e = rollup.bucket_end(F.col("t"))
+        rows = near.select("sid", "t", "v", "batch", "seq", e.alias("e"), (e - F.pmod(e, F.lit(self.block))).alias("block")).filter(F.col("block").isin(ends))
+        # both groupings stay where the rows were cut
+        rows = rows if tasks is None else rows.repartitionByRange(tasks, "block", "sid", "e")
+        first = rows.groupBy("block", "sid", "e", "t").agg(F.min_by("v", F.struct("batch", "seq")).alias("v"))
+        return rollup.reduced(first, "block", "sid", "e").select("sid", "e", "mn", "mx", "sm", "cnt", "la", "block")
 
     def rollups(self) -> DataFrame | None:
         """Stored buckets, and those of days that are not compacted from their raw samples; None before any compaction."""
